@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rxlink.llm.common import require, text_of
+from rxlink.llm.common import ddl, require, text_of
 
 WINDOW = 10
 MAX_AUTOMATON_CHARS = 16_000_000
@@ -158,17 +158,13 @@ def scan_benchmark(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, ma
     (hit passages as code points of the original text)."""
     require(docs, "doc_id", "text")
     sc = docs.sparkSession.sparkContext
-    kinds = f"{_ddl(docs)}, {_HITS}"
+    kinds = f"{ddl(docs)}, {_HITS}"
     out = docs
     for k, part in enumerate(item_parts(benchmark, max_chars)):
         out = out.withColumn("__bd_text", text_of("text")).mapInArrow(_scanner(sc.broadcast(part), k, size, k > 0), kinds)
     return out.drop("__bd_runs")
 
 
-def _ddl(df: DataFrame) -> str:
-    return ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema)
-
-
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """The documents that hold no window of the benchmark, columns as they were."""
     return scan_benchmark(docs, benchmark, size).filter(F.col("__bd_hit") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])

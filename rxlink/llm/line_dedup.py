@@ -28,18 +28,18 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rxlink.llm.common import ASCII_WS, require, shared_dir, text_of
+from rxlink.llm.common import ASCII_WS, ddl, require, shared_dir, text_of
 
 MIN_CHARS = 20
 MIN_DOCS = 3
 
 _OCC = "__ld_h binary, __ld_doc long, __ld_row long, __ld_n int, __ld_pos array<int>"
 _OUT_ROWS = 4096
+_OUT_TEXTS = 256
 
 
 def line_key(line: str) -> bytes:
@@ -161,25 +161,34 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
     return by_doc.mapInArrow(_bitmaps, "__ld_doc long, __ld_row long, __ld_n int, __ld_bitmap binary")
 
 
-def _applied(text: pd.Series, bitmap: pd.Series) -> pd.DataFrame:
-    out = []
-    for t, b in zip(text, bitmap):
-        if b is None:
-            out.append((t, t.count("\n") + 1, 0))
-            continue
-        lines = t.split("\n")
-        keep = np.unpackbits(np.frombuffer(zlib.decompress(b), dtype=np.uint8), count=len(lines))
-        kept = [x for x, k in zip(lines, keep) if k]
-        out.append(("\n".join(kept), len(lines), len(lines) - len(kept)))
-    return pd.DataFrame(out, columns=["text", "n_lines", "n_dropped"])
+def _applied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ending in (text, bitmap) get the kept text and the counts instead, a few at a time."""
+    kind = pa.struct([("text", pa.string()), ("n_lines", pa.int64()), ("n_dropped", pa.int64())])
+    for whole in batches:
+        for lo in range(0, whole.num_rows, _OUT_TEXTS):
+            batch = whole.slice(lo, _OUT_TEXTS)
+            own = batch.num_columns - 2
+            out = []
+            for text, bitmap in zip(batch.column(own), batch.column(own + 1)):
+                t, packed = text.as_py(), bitmap.as_py()
+                if packed is None:
+                    out.append({"text": t, "n_lines": t.count("\n") + 1, "n_dropped": 0})
+                    continue
+                lines = t.split("\n")
+                keep = np.unpackbits(np.frombuffer(zlib.decompress(packed), dtype=np.uint8), count=len(lines))
+                kept = [x for x, k in zip(lines, keep) if k]
+                out.append({"text": "\n".join(kept), "n_lines": len(lines), "n_dropped": len(lines) - len(kept)})
+            yield pa.RecordBatch.from_arrays([*batch.columns[:own], pa.array(out, kind)], names=[*batch.schema.names[:own], "__ld_kept"])
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """``docs`` with ``__ld_kept`` = (text, n_lines, n_dropped) beside its columns."""
-    left = docs.withColumns({"__ld_key": F.col("doc_id").cast("long"), "__ld_hash": F.xxhash64(text_of("text"))})
+    """``docs`` with ``__ld_kept`` = (text, n_lines, n_dropped) in place of its text."""
+    left = docs.withColumns({"__ld_key": F.col("doc_id").cast("long"), "__ld_hash": F.xxhash64(text_of("text")), "__ld_text": text_of("text")}).drop("text")
     on = left["__ld_key"].eqNullSafe(bitmaps["__ld_doc"]) & (left["__ld_hash"] == bitmaps["__ld_row"])
     joined = left.join(bitmaps.hint("shuffle_hash"), on, "left")  # the texts are streamed, not sorted
-    return joined.select(*[left[c] for c in docs.columns], F.pandas_udf(_applied, "text string, n_lines long, n_dropped long")(text_of(left["text"]), bitmaps["__ld_bitmap"]).alias("__ld_kept"))
+    rest = [c for c in docs.columns if c != "text"]
+    joined = joined.select(*[left[c] for c in rest], "__ld_text", "__ld_bitmap")
+    return joined.mapInArrow(_applied, f"{ddl(joined.select(*rest))}, __ld_kept struct<text:string,n_lines:long,n_dropped:long>")
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -193,4 +202,5 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     new = {"text": F.col("__ld_kept.text"), "n_lines": F.col("__ld_kept.n_lines"), "n_dropped": F.col("__ld_kept.n_dropped")}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.length("__ld_kept.text").cast("long")
-    return out.withColumns(new).drop("__ld_kept")
+    names = [*docs.columns, *(c for c in ("n_lines", "n_dropped") if c not in docs.columns)]
+    return out.withColumns(new).select(*[F.col(f"`{c}`") for c in names])

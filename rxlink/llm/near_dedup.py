@@ -52,7 +52,7 @@ BLOCK = 512
 
 _MASK = (1 << 64) - 1
 _ODD = [np.uint64((0x9E3779B97F4A7C15 * (2 * i + 3)) & _MASK | 1) for i in range(64)]
-_CACHE_WORDS = 500_000
+_CACHE_WORDS = 150_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -115,6 +115,19 @@ def sketches(sets: list[np.ndarray]) -> np.ndarray:
     return np.clip(level, 0, TOP + 1).astype(np.uint16).reshape(n, m)
 
 
+def batches_of(sets: list[np.ndarray]) -> Iterator[list[np.ndarray]]:
+    """Runs of sets to be sketched at once: few enough for their temporary arrays."""
+    part, size = [], 0
+    for s in sets:
+        part.append(s)
+        size += len(s)
+        if len(part) == 128 or size >= 100_000:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
 def band_keys(registers: np.ndarray) -> np.ndarray:
     """64-bit keys of the bands, by row of ``registers``."""
     parts = registers.astype(np.uint64).reshape(len(registers), BANDS, ROWS)
@@ -150,7 +163,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs, texts = batch.column(0), batch.column(1)
         for lo in range(0, batch.num_rows, 128):
             sets = [shingles(t.as_py()) for t in texts[lo : lo + 128]]
-            keys = band_keys(sketches(sets))
+            keys = band_keys(np.concatenate([sketches(part) for part in batches_of(sets)]))
             one, two = np.zeros(len(sets), dtype=np.uint64), np.zeros(len(sets), dtype=np.uint64)
             for i, s in enumerate(sets):
                 if len(s):
@@ -193,9 +206,8 @@ def linked(ids: np.ndarray, texts: list[str], left: np.ndarray, right: np.ndarra
     ids, left, right = ids[order], left[order], right[order]
     sets = [shingles(texts[i]) for i in order]
     sizes = np.array([len(s) for s in sets])
-    registers = np.concatenate([sketches(sets[i : i + 128]) for i in range(0, len(sets), 128)])
+    registers = np.concatenate([sketches(part) for part in batches_of(sets)])
     keys = band_keys(registers)
-    exact: dict[int, set[int]] = {}
     known, out = _Union(len(ids)), []
     least = per_cent / 100
     for i in range(len(ids)):
@@ -212,11 +224,8 @@ def linked(ids: np.ndarray, texts: list[str], left: np.ndarray, right: np.ndarra
         for j in js.tolist():
             if known.root(i) == known.root(j):
                 continue
-            for k in (i, j):
-                if k not in exact:
-                    exact[k] = set(sets[k].tolist())
-            both = len(exact[i] & exact[j])
-            if 100 * both >= per_cent * (len(exact[i]) + len(exact[j]) - both):
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if 100 * both >= per_cent * (len(sets[i]) + len(sets[j]) - both):
                 known.join(i, j)
                 out.append((int(ids[j]), int(ids[i])))
     return out

@@ -25,7 +25,6 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +37,7 @@ from rxlink.llm.common import require, text_of
 WINDOW = 2048
 END_ID = 1
 MAX_OPEN = 2048
-_CACHE_WORDS = 600_000
+_CACHE_WORDS = 250_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _SCHEMA = pa.schema([(c.split()[0], pa.int64()) for c in PIECES.split(", ")])
 
@@ -161,8 +160,8 @@ class ByteBpe:
         self.max_words = max_words
 
         class Words(dict):
-            def __missing__(self, word: str) -> tuple[int, ...]:
-                ids = self[word] = tuple(tokenizer.encode(word, add_special_tokens=False).ids)
+            def __missing__(self, word: str) -> bytes:
+                ids = self[word] = np.asarray(tokenizer.encode(word, add_special_tokens=False).ids, dtype=np.uint32).tobytes()
                 return ids
 
         self.words = Words()
@@ -175,7 +174,7 @@ class ByteBpe:
             return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
         if len(self.words) > self.max_words:
             self.words.clear()
-        return np.fromiter(chain.from_iterable(map(self.words.__getitem__, self.findall(text))), dtype=np.uint32)
+        return np.frombuffer(b"".join(map(self.words.__getitem__, self.findall(text))), dtype=np.uint32)
 
 
 _encoders: dict[str, ByteBpe] = {}

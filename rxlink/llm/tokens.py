@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from rxlink.llm.common import require, scratch_path, text_of
 
 CACHE_SCHEMA = "tokenizer string, content binary, n_tokens long"
-_FLUSH_BYTES = 8_000_000
+_FLUSH_BYTES = 1_000_000
 
 
 def tokenizer_digest(model: str) -> str:

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rxlink.llm.common import require, text_of, written
+from rxlink.llm.common import ddl, require, text_of, written
 
 MAX_ROWS = 20_000
 MAX_CANDIDATES = 4_000
@@ -60,7 +60,7 @@ _EDGE = "".join(map(chr, [*range(33, 48), *range(58, 65), *range(91, 97), *range
 _LEET = str.maketrans("013457@$!|+", "oieastasiit")
 _FIXED, _LEARNT, _OBFUSCATED, _SECOND, _CAPITALS, _MIXED, _DRAWN = (1 << i for i in range(7))
 _NEAR = 5
-_CACHE_TOKENS = 500_000
+_CACHE_TOKENS = 120_000
 
 
 def plain(token: str) -> str:
@@ -316,8 +316,7 @@ def _scorer(shared):
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with ``__tx_score`` beside its columns."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few hundred KB whatever the input
-    kinds = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.withColumn("__tx_text", text_of("text")).mapInArrow(_scorer(shared), f"{kinds}{', ' if kinds else ''}__tx_score double")
+    return docs.withColumn("__tx_text", text_of("text")).mapInArrow(_scorer(shared), f"{ddl(docs)}, __tx_score double")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
