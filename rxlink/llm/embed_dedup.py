@@ -38,6 +38,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -79,41 +80,47 @@ def turned(vectors: np.ndarray) -> np.ndarray:
     return unit @ rotation(vectors.shape[1])
 
 
-def _cells(cosine: float):
-    """Rows (block, x, y, probe, id, weight, vector): one home and its probes for each block."""
+def _cells(cosine: float, homes_only: bool):
+    """Rows (dims, block, x, y) of each vector's home cells, or with homes_only
+    false (.., probe, id, weight, vector): one home and its probes for each block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("dims", pa.int32()), ("block", pa.int32()), ("x", pa.int32()), ("y", pa.int32()), ("probe", pa.bool_()), ("id", pa.int64()), ("weight", pa.int64()), ("v", pa.list_(pa.float64()))])
         for batch in batches:
-            ids, weights, lists = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
+            ids, weights, lists = np.asarray(batch.column(0)), np.asarray(batch.column(1)), batch.column(2)
             for lo in range(0, len(ids), 512):
                 by_dims: dict[int, list[int]] = {}
-                some = [np.array(x.as_py(), dtype=np.float64) for x in lists[lo : lo + 512]]
-                for i, x in enumerate(some):
-                    by_dims.setdefault(len(x), []).append(i)
-                rows: list[tuple] = []
+                for i, n in enumerate(np.asarray(pa.compute.list_value_length(lists[lo : lo + 512])).tolist()):
+                    by_dims.setdefault(n, []).append(lo + i)
                 for dims, at in by_dims.items():
-                    raw = np.stack([some[i] for i in at])
-                    q = turned(raw)
-                    limit = budgets(dims, cosine)
+                    kept = lists.take(pa.array(at))
+                    values = np.asarray(kept.flatten()).reshape(len(at), dims)
+                    q, limit, rows = turned(values.astype(np.float64)), budgets(dims, cosine), []
                     for k, s in enumerate(blocks_of(dims)):
                         radius = float(np.sqrt(limit[k])) + 1e-9
                         xy = np.zeros((len(at), 2))
                         xy[:, : min(2, s.stop - s.start)] = q[:, s][:, :2]
-                        low, high, home = (np.floor((xy + d) / (2 * radius)).astype(int) for d in (-radius, radius, 0.0))
-                        for n, i in enumerate(at):
-                            own = (ids[lo + i], weights[lo + i], raw[n].tolist())
-                            rows.append((dims, k, int(home[n, 0]), int(home[n, 1]), False, *own))
-                            for x in range(low[n, 0], high[n, 0] + 1):
-                                for y in range(low[n, 1], high[n, 1] + 1):
-                                    rows.append((dims, k, x, y, True, *own))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                        low, high, home = (np.floor((xy + d) / (2 * radius)).astype(np.int32) for d in (-radius, radius, 0.0))
+                        own = np.arange(len(at))
+                        rows.append((own, k, home, False))
+                        for dx in () if homes_only else range(int((high - low).max()) + 1):
+                            for dy in range(int((high - low).max()) + 1):
+                                cell = low + np.array([dx, dy], dtype=np.int32)
+                                touched = (cell <= high).all(axis=1)
+                                rows.append((own[touched], k, cell[touched], True))
+                    who = np.concatenate([r[0] for r in rows])
+                    cells = np.concatenate([r[2] for r in rows])
+                    block = np.concatenate([np.full(len(r[0]), r[1], dtype=np.int32) for r in rows])
+                    columns = [pa.array(np.full(len(who), dims, dtype=np.int32)), pa.array(block), pa.array(cells[:, 0].copy()), pa.array(cells[:, 1].copy())]
+                    if not homes_only:
+                        probe = np.concatenate([np.full(len(r[0]), r[3]) for r in rows])
+                        offsets = pa.array(np.arange(len(who) + 1, dtype=np.int32) * dims)
+                        columns += [pa.array(probe), pa.array(ids[at][who]), pa.array(weights[at][who]), pa.ListArray.from_arrays(offsets, pa.array(values[who].ravel()))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["dims", "block", "x", "y", "probe", "id", "weight", "v"][: len(columns)])
 
     return run
 
 
-_CELL = "dims int, block int, x int, y int, probe boolean, id long, weight long, v array<double>"
+_HOME = "dims int, block int, x int, y int"
 
 
 def match(home: tuple[np.ndarray, np.ndarray], probe: tuple[np.ndarray, np.ndarray, np.ndarray], block: int, cosine: float) -> tuple[dict[int, int], list[tuple[int, int]]]:
@@ -180,16 +187,20 @@ def _joined(cosine: float):
 def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """One row per row of ``vectors``: ``vec_id, n_links, component_id, kept``."""
     require(vectors, "vec_id", "embedding")
-    e = F.col("embedding").cast("array<double>")
-    sound = (F.size(e) > 0) & ~F.exists(e, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf")))) & F.exists(e, lambda x: x != 0)
-    whole = F.transform(e, lambda x: x + F.lit(0.0))  # -0.0 becomes 0.0
+    e = F.col("embedding")
+    if vectors.schema["embedding"].dataType.simpleString() != "array<float>":  # floats stay as they are, half as large
+        e = e.cast("array<double>")
+    sound = (F.size(e) > 0) & ~F.exists(e, lambda x: x.isNull() | F.isnan(x) | (F.abs(x).cast("double") == F.lit(float("inf")))) & F.exists(e, lambda x: x != 0)
+    whole = F.transform(e, lambda x: F.when(x == 0, F.abs(x)).otherwise(x))  # -0.0 becomes 0.0
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(sound, whole).alias("v"))
     rows = written(rows.withColumn("__ed_key", F.when(F.col("v").isNotNull(), F.sha2(F.to_json("v"), 256))), "vectors")
     classes = rows.filter(F.col("v").isNotNull()).groupBy("__ed_key").agg(F.min("vec_id").alias("least"), F.count("*").alias("weight"), F.first("v").alias("v"))
     classes = written(classes.withColumn("id", F.xxhash64("__ed_key")), "vector-classes")
-    cells = written(classes.select("id", "weight", "v").mapInArrow(_cells(cosine), _CELL), "vector-cells")
     cell = ["dims", "block", "x", "y"]
-    homes = cells.filter(~F.col("probe")).groupBy(*cell).agg(F.ceil(F.count("*") / F.lit(CHUNK)).cast("int").alias("chunks"))
+    source = classes.select("id", "weight", "v")
+    kind = source.schema["v"].dataType.simpleString()
+    homes = source.mapInArrow(_cells(cosine, True), _HOME).groupBy(*cell).agg(F.ceil(F.count("*") / F.lit(CHUNK)).cast("int").alias("chunks"))
+    cells = source.mapInArrow(_cells(cosine, False), f"{_HOME}, probe boolean, id long, weight long, v {kind}")
     placed = cells.join(F.broadcast(homes), cell)  # a few cells a block: the unit sphere bounds them
     chunk = F.when(F.col("probe"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(F.pmod(F.hash("id"), F.col("chunks"))))
     placed = placed.withColumn("chunk", F.explode(chunk)).drop("chunks")

@@ -6,7 +6,10 @@ those of licence templates by the Dice coefficient ``2 |A and B| / (|A| + |B|)``
 A template can only reach the threshold ``t`` if the unit's set has between
 ``t / (2 - t)`` and ``(2 - t) / t`` of its bigrams, so units outside all bounds
 are never cut into bigrams, and inside only the templates whose bounds fit are
-compared.
+compared. Before that, a unit must hold one of the templates' anchors: the
+threshold needs at least ``t / (2 - t)`` of a template's bigrams, so of any
+larger part of them than the rest at least one is there, and the anchors are
+words that such a part is made with.
 
 Defined results
     null or empty text: no match (``license`` null, ``dice`` 0). A text's
@@ -18,7 +21,10 @@ Defined results
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,6 +49,7 @@ TEMPLATES = {
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
 WORDS = "[a-z0-9]+"
+_LONG = 6
 
 
 def template_bigrams(text: str) -> list[str]:
@@ -55,6 +62,27 @@ def bounds(n: int, dice: float) -> tuple[float, float]:
     return n * dice / (2 - dice), n * (2 - dice) / dice
 
 
+def anchors(sets: dict[str, list[str]], dice: float) -> tuple[list[str], list[str]]:
+    """Long words and patterns of bigrams, one of which every unit that reaches
+    the threshold must hold."""
+    words: list[str] = []
+    pairs: list[str] = []
+    for grams in sets.values():
+        spare = len(grams) - math.ceil(bounds(len(grams), dice)[0] - 1e-9) + 1
+        left = [g for g in grams if not any(a in w for a in words for w in g.split())]
+        while len(grams) - len(left) < spare:
+            count = Counter(w for g in left for w in set(g.split()) if len(w) >= _LONG)
+            if count:
+                best = max(count, key=lambda w: (count[w] * len(w), w))
+                words.append(best)
+                left = [g for g in left if not any(best in w for w in g.split())]
+            else:
+                pair = max(left, key=lambda g: (len(g), g))
+                pairs.append(pair.replace(" ", "[^a-z0-9]+"))
+                left.remove(pair)
+    return sorted(words), sorted(set(pairs))
+
+
 def _lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -74,12 +102,14 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, dice
     low, high = min(bounds(len(v), dice)[0] for v in sets.values()), max(bounds(len(v), dice)[1] for v in sets.values())
     # a set of n bigrams takes n + 1 words at least, each of a character and a separator
     least_chars = 2 * int(low) + 1
-    text = text_of("text")
+    words, pairs = anchors(sets, dice)
+    text = F.col("__ls_text")
+    anchored = lambda t: reduce(lambda a, b: a | b, [t.contains(w) for w in words] + ([t.rlike("|".join(pairs))] if pairs else []))
     whole = F.struct(F.lit(0).alias("unit"), text.alias("t"))
     lines = F.transform(F.split(text, "\n", -1), lambda t, i: F.struct((i + 1).alias("unit"), t.alias("t")))
-    units = F.filter(F.concat(F.array(whole), lines), lambda u: F.length(u["t"]) >= least_chars)
+    units = F.filter(F.concat(F.array(whole), lines), lambda u: (F.length(u["t"]) >= least_chars) & anchored(u["t"]))
     # each step hands its result to the next as a field, so nothing is computed twice
-    cut = F.transform(units, lambda u: F.struct(u["unit"].alias("unit"), F.regexp_extract_all(_lower(u["t"]), F.lit(WORDS), F.lit(0)).alias("words")))
+    cut = F.transform(units, lambda u: F.struct(u["unit"].alias("unit"), F.regexp_extract_all(u["t"], F.lit(WORDS), F.lit(0)).alias("words")))
     # n words hold at most n - 1 bigrams, n distinct words at least n - 1 distinct ones
     fits = F.filter(cut, lambda u: (F.size(u["words"]) - 1 >= low - 1e-9) & (F.size(F.array_distinct(u["words"])) - 1 <= high + 1e-9))
     paired = F.transform(fits, lambda u: F.struct(u["unit"].alias("unit"), bigrams(u["words"]).alias("grams")))
@@ -97,4 +127,5 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, dice
     hit = best.isNotNull() & (-best["d"] >= dice - 1e-12)
     kind = "struct<dice:double,license:string,unit:int>"
     found = F.when(hit, F.struct((-best["d"]).alias("dice"), best["license"].alias("license"), best["unit"].alias("unit")).cast(kind))
-    return docs.withColumn("__ls_best", found)
+    out = docs.withColumn("__ls_text", _lower(text_of("text")))
+    return out.withColumn("__ls_best", F.when(anchored(text), found)).drop("__ls_text")

@@ -37,7 +37,6 @@ from rxlink.llm.common import require, text_of
 WINDOW = 2048
 END_ID = 1
 MAX_OPEN = 2048
-_CACHE_WORDS = 250_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _SCHEMA = pa.schema([(c.split()[0], pa.int64()) for c in PIECES.split(", ")])
 
@@ -136,45 +135,47 @@ class Packer:
 
 
 class ByteBpe:
-    """Ids by the tokenizers library, each distinct word encoded once.
-
-    A byte-level BPE cuts the text into words by a pattern before any merge, so
-    a text's ids are its words' ids in turn. Words are looked up in a bounded
-    cache that the library fills. Texts that hold one of its special strings,
-    or characters on which regular-expression libraries may differ, go to the
-    library whole.
+    """The ids that the tokenizers library gives for a byte-level BPE file.
+
+    The file's own vocabulary, read by tokenizers, is handed to tiktoken's
+    merger, which finds the same ids about three times as fast; the two are
+    compared on a sample when the file is loaded, and where they differ, or the
+    file is of another kind, tokenizers encodes everything. Texts with one of
+    the tokenizer's special strings, or with characters on whose classes the
+    two libraries' patterns may differ, go to tokenizers too.
     """
 
+    #: Fixed value: the pattern by which this kind of file cuts words.
     WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+    SAMPLE = "The cat's 12 hats,\n\n  they'll  sit -- été où Ñandú, 3.14!\n über\t123abc ''s x"
 
-    def __init__(self, path: str, max_words: int = _CACHE_WORDS):
-        import regex
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = tokenizer = Tokenizer.from_file(path)
         tokenizer.no_padding()
         tokenizer.no_truncation()
-        self.findall = regex.compile(self.WORDS).findall
         special = [re.escape(t.content) for t in tokenizer.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join([*special, "[\x1c-\x1f\x85\u180e\u200b\u2028\u2029]", "[^\x00-\uffff]"])).search
-        self.max_words = max_words
-
-        class Words(dict):
-            def __missing__(self, word: str) -> bytes:
-                ids = self[word] = np.asarray(tokenizer.encode(word, add_special_tokens=False).ids, dtype=np.uint32).tobytes()
-                return ids
-
-        self.words = Words()
+        self.odd = re.compile("|".join([*special, "[\x1c-\x1f\x85\u180e\u200b\u2028\u2029]", "[^\x00-\uffff]"])).search
         model = json.loads(tokenizer.to_str())
         pre = model.get("pre_tokenizer") or {}
-        self.by_word = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not model.get("normalizer")
+        plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not model.get("normalizer")
+        self.fast = self._merger({t.content for t in tokenizer.get_added_tokens_decoder().values()}) if plain else None
+
+    def _merger(self, added: set[str]):
+        import tiktoken
+
+        # byte-level vocabularies write the bytes that do not print as the code points from 256 on
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))}
+        ranks = {bytes(of[c] for c in token): i for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if token not in added}
+        encode = tiktoken.Encoding("byte-level", pat_str=self.WORDS, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        return encode if encode(self.SAMPLE) == self.tokenizer.encode(self.SAMPLE, add_special_tokens=False).ids else None
 
     def encode(self, text: str) -> np.ndarray:
-        if not self.by_word or self.whole(text):
+        if self.fast is None or self.odd(text):
             return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
-        if len(self.words) > self.max_words:
-            self.words.clear()
-        return np.frombuffer(b"".join(map(self.words.__getitem__, self.findall(text))), dtype=np.uint32)
+        return np.asarray(self.fast(text), dtype=np.uint32)
 
 
 _encoders: dict[str, ByteBpe] = {}
