@@ -2,14 +2,15 @@
 
 Vectors are scaled to length one and turned by a fixed random rotation, so
 that cosine >= c means a squared distance of at most 2 - 2c, spread evenly over
-the dimensions. The dimensions are cut into blocks of eight; each block gets
+the dimensions. The dimensions are cut into blocks of sixteen; each block gets
 the part of the squared distance that is proportional to its dimensions, and a
 pair within the whole budget is within at least one block's. Each block is
 range-joined: the first two coordinates give a grid cell of two radii, a vector
 has one home cell and is sent as a probe to the at most four cells its radius
 touches. A cell's homes are cut into chunks, so that no task gathers an
 unbounded cell (the number of cells is bounded by the unit sphere, whatever the
-input). In a task, a matrix product bounds the block distances, and a pair
+input). In a task, vectors are sorted by the block's third coordinate, a matrix product
+over those within a radius of each other bounds the block distances, and a pair
 counts in the first block whose budget it meets, so no pair is counted twice
 and none is written out: the union of the candidates is verified exactly by the
 cosine in double precision, and only each vector's number of links and the
@@ -46,7 +47,7 @@ from rxlink.llm.common import require, written
 from rxlink.llm.graph import components
 
 COSINE = 0.95
-BLOCK_DIMS = 8
+BLOCK_DIMS = 16
 CHUNK = 4096
 SEED = 20260
 _EPS = 1e-9
@@ -133,8 +134,14 @@ def match(home: tuple[np.ndarray, np.ndarray], probe: tuple[np.ndarray, np.ndarr
     dims = raw.shape[1]
     limit, own = budgets(dims, cosine), blocks_of(dims)[block]
     norms, other_norms = np.linalg.norm(raw, axis=1), np.linalg.norm(other_raw, axis=1)
+    radius = float(np.sqrt(limit[block])) + 1e-6
+    if own.stop - own.start > 2:  # both in the order of the third coordinate
+        a, b = np.argsort(q[:, own.start + 2], kind="stable"), np.argsort(p[:, own.start + 2], kind="stable")
+        ids, raw, q, norms = ids[a], raw[a], q[a], norms[a]
+        others, other_raw, p, other_norms, weights = others[b], other_raw[b], p[b], other_norms[b], weights[b]
+    third = min(own.start + 2, own.stop - 1)
     pk = p[:, own].astype(np.float32)
-    p2 = (pk**2).sum(axis=1)
+    right = np.column_stack([pk, (pk**2).sum(axis=1), np.ones(len(pk), dtype=np.float32)]).T.copy()
     counts: dict[int, int] = {}
     forest: list[tuple[int, int]] = []
     up: dict[int, int] = {}
@@ -147,16 +154,20 @@ def match(home: tuple[np.ndarray, np.ndarray], probe: tuple[np.ndarray, np.ndarr
 
     for lo in range(0, len(ids), 256):
         qk = q[lo : lo + 256, own].astype(np.float32)
-        near = (qk**2).sum(axis=1)[:, None] + p2[None, :] - 2 * (qk @ pk.T) <= limit[block] + 1e-4
-        i, j = np.nonzero(near)
-        i += lo
+        left = np.column_stack([-2 * qk, np.ones(len(qk), dtype=np.float32), (qk**2).sum(axis=1)])
+        first, last = 0, len(p)
+        if own.stop - own.start > 2:
+            first = np.searchsorted(p[:, third], q[lo, third] - radius, "left")
+            last = np.searchsorted(p[:, third], q[min(lo + 256, len(q)) - 1, third] + radius, "right")
+        i, j = np.nonzero(left @ right[:, first:last] <= np.float32(limit[block] + 1e-4))
+        i, j = i + lo, j + first
         for a in range(0, len(i), 65536):
             x, y = i[a : a + 65536], j[a : a + 65536]
             other = ids[x] != others[y]
             x, y = x[other], y[other]
             inside = block_distances(q[x], p[y]) <= limit
-            first = inside.any(axis=1) & (inside.argmax(axis=1) == block)
-            x, y = x[first], y[first]
+            here = inside.any(axis=1) & (inside.argmax(axis=1) == block)
+            x, y = x[here], y[here]
             cos = np.einsum("ij,ij->i", raw[x], other_raw[y]) / (norms[x] * other_norms[y])
             x, y = x[cos >= cosine], y[cos >= cosine]
             for n, w in zip(ids[x].tolist(), weights[y].tolist()):
