@@ -39,6 +39,7 @@ VERSION = b"WARC/1.1"
 DATE = "2024-01-01T00:00:00Z"
 ARCHIVE_BYTES = 64_000_000
 MAX_HEADER = 65_536
+MAX_READERS = 10_000
 _STEP = 1 << 20
 
 RECORDS = "archive string, offset long, page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary, gap_start long, gap_end long, reason string"
@@ -294,7 +295,8 @@ def read_archives(archives: DataFrame, folder: str = "/", with_payload: bool = T
     """Records and quarantined gaps (``gap_start`` set) of the archives named in
     the first column, an archive a task at a time."""
     name = archives.columns[0]
-    return archives.select(F.col(name).cast("string").alias("archive")).repartition("archive").mapInArrow(_reader(folder, with_payload), RECORDS)
+    tasks = max(1, min(archives.count(), MAX_READERS))  # stated, so that small manifests are not read by one task
+    return archives.select(F.col(name).cast("string").alias("archive")).repartition(tasks, "archive").mapInArrow(_reader(folder, with_payload), RECORDS)
 
 
 def round_trip(spark: SparkSession, pages: DataFrame, folder: str | None = None) -> DataFrame:
