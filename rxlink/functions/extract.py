@@ -94,12 +94,17 @@ def frequency(x: Column, lk: Lookups) -> Column:
 
 def duration(x: Column) -> tuple[Column, Column]:
     """Normalised text and days (a week is 7, a month 30)."""
-    number, unit = F.regexp_extract(x, DURATION, 1).try_cast("double"), F.lower(F.regexp_extract(x, DURATION, 2))
-    name = F.when(unit.startswith("d"), "day").when(unit.startswith("w"), "week").otherwise("month")
-    days = number * F.when(unit.startswith("d"), 1.0).when(unit.startswith("w"), 7.0).otherwise(30.0)
-    shown = F.when(number == F.floor(number), number.cast("bigint").cast("string")).otherwise(number.cast("string"))
-    said = F.concat(shown, F.lit(" "), name, F.when(number == 1, "").otherwise("s"))
-    return F.when(x.rlike(DURATION), said).otherwise(""), F.when(x.rlike(DURATION), days)
+
+    def body(m: Column) -> Column:
+        number, unit = m["n"].try_cast("double"), m["u"]
+        name = F.when(unit.startswith("d"), "day").when(unit.startswith("w"), "week").otherwise("month")
+        days = number * F.when(unit.startswith("d"), 1.0).when(unit.startswith("w"), 7.0).otherwise(30.0)
+        shown = F.when(number == F.floor(number), number.cast("bigint").cast("string")).otherwise(number.cast("string"))
+        said = F.concat(shown, F.lit(" "), name, F.when(number == 1, "").otherwise("s"))
+        return F.struct(F.when(unit == "", "").otherwise(said).alias("said"), F.when(unit != "", days).alias("days"))
+
+    found = T.let(F.struct(F.regexp_extract(x, DURATION, 1).alias("n"), F.lower(F.regexp_extract(x, DURATION, 2)).alias("u")), body)
+    return found["said"], found["days"]
 
 
 def strict_duration(x: Column) -> Column:

@@ -207,7 +207,7 @@ def validate_unique(mapping: DataFrame) -> None:
 def final_mapping(strips: DataFrame, records: DataFrame, keep_unmatched: bool = True, method: str = "optimal", check: bool = True) -> DataFrame:
     """Each strip with at most one record, in 16 columns, by strip row."""
     scored = candidates(strips, records).withColumn("problem", F.lit(1))
-    scored = best_pairs(scored, "problem")
+    scored = checkpointed(best_pairs(scored, "problem"))  # the pairs are scored once, not again for each use
     pairs = (optimal(scored) if method == "optimal" else greedy(scored, "problem")).drop("problem")
     matched = scored.join(pairs, ["image_name", "medicine_unique_key"]).drop("problem")
     out = with_unmatched(strips, matched) if keep_unmatched else matched
