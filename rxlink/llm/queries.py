@@ -142,4 +142,29 @@ SELECT d.doc_id, len(d.ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_i
 FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_line_dedup": _OP1, "op3_near_dedup": _OP3, "op7_embedding_dedup": _OP7, "op8_decontamination": _OP8}
+_OP4 = r"""
+WITH d AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x FROM pages),
+b AS (SELECT page_id, h, array_to_string(list_transform(range(0, 8), lambda k: array_to_string(list_transform([15, 10, 5, 0],
+        lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((CAST(concat('0x', substr(x, 5 * k + 1, 5)) AS BIGINT) >> s) & 31) + 1 AS BIGINT), 1)), '')), '') AS payload_digest FROM d),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS top FROM b)
+SELECT page_id, octet_length(encode(h))::BIGINT AS payload_bytes, payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to FROM m
+"""
+
+
+def _op6() -> str:
+    rows = ", ".join("('{}', [{}])".format(k, ", ".join(f"'{g}'" for g in license_scan.template_bigrams(v))) for k, v in license_scan.TEMPLATES.items())
+    return rf"""
+WITH t(name, tg) AS (VALUES {rows}),
+u AS (SELECT doc_id, 0 AS unit, coalesce(text, '') AS s FROM documents UNION ALL
+      SELECT doc_id, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS unit, unnest(string_split(coalesce(text, ''), chr(10))) AS s FROM documents),
+w AS (SELECT doc_id, unit, regexp_extract_all(translate(s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+') AS ws FROM u),
+g AS (SELECT doc_id, unit, list_distinct(list_transform(range(1, len(ws)), lambda i: concat(ws[i], ' ', ws[i + 1]))) AS gs FROM w WHERE len(ws) >= 2),
+m AS (SELECT doc_id, unit, name, 2.0 * len(list_intersect(gs, tg)) / (len(gs) + len(tg)) AS d FROM g, t),
+k AS (SELECT * FROM m WHERE d >= {license_scan.DICE} - 1e-12 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY d DESC, unit, name) = 1)
+SELECT x.doc_id, k.name AS license, round(coalesce(k.d, 0.0), 6)::DOUBLE AS dice, coalesce(k.unit, -1)::BIGINT AS unit FROM documents x LEFT JOIN k ON x.doc_id = k.doc_id
+"""
+
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_line_dedup": _OP1, "op3_near_dedup": _OP3, "op4_warc": _OP4, "op6_licenses": _op6(), "op7_embedding_dedup": _OP7, "op8_decontamination": _OP8,
+}

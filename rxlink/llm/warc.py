@@ -245,18 +245,16 @@ def write_archives(pages: DataFrame, folder: str, min_revisit_bytes: int = 0, ar
     ``archive, records, bytes``.
     """
     require(pages, "page_id", "url", "html")
-    from pyarrow import fs  # noqa: F401
-
     files, at = _filesystem(folder)
     files.create_dir(at, recursive=True)
     html = text_of("html")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
     rows = rows.withColumns({"__wa_key": F.sha2("html", 256), "__wa_size": F.octet_length("html")})
-    order = F.struct(F.coalesce("page_id", F.lit(-(1 << 63))).alias("i"))
-    largest = rows.groupBy("__wa_key").agg(F.max(order["i"]).alias("top"), F.count("*").alias("n")).filter("n > 1").select(F.col("__wa_key").alias("k"), "top")
+    id_or_least = F.coalesce("page_id", F.lit(-(1 << 63)))
+    largest = rows.groupBy("__wa_key").agg(F.max(id_or_least).alias("top"), F.count("*").alias("n")).filter("n > 1").select(F.col("__wa_key").alias("k"), "top")
     # where ids repeat, the response is one row: of those with the top id, the first by url
     both = rows.join(largest.hint("shuffle_hash"), F.col("__wa_key") == F.col("k"), "left")
-    top = F.coalesce("page_id", F.lit(-(1 << 63))) == F.col("top")
+    top = id_or_least == F.col("top")
     copy = F.col("k").isNotNull() & (F.col("__wa_size") >= min_revisit_bytes)
     ids = rows.groupBy("page_id").count().filter("count > 1").limit(1)
     if ids.isEmpty():
