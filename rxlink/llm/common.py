@@ -66,8 +66,24 @@ def text_of(col: str | Column) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit("")).cast("string")
 
 
+#: Arrow batches of whole texts: rows and bytes at most, unless the session states its own.
+BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Keeps what a task holds of whole texts small, in the JVM and in Python.
+
+    Spark's default of 10,000 rows a batch is tens to hundreds of MB of texts,
+    several times over in each task. Sizes that the session sets stay.
+    """
+    for key, value in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        if spark.conf.get(f"spark.sql.execution.arrow.{key}", None) is None:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(value))
+
+
 def require(df: DataFrame, *columns: str) -> None:
-    """Raises ``ValueError`` naming the columns that are missing."""
+    """Bounds the Arrow batches; raises ``ValueError`` naming the columns that are missing."""
+    bound_batches(df.sparkSession)
     missing = [c for c in columns if c not in df.columns]
     if missing:
         raise ValueError(f"missing columns: {', '.join(missing)}")
