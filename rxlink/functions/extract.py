@@ -42,7 +42,7 @@ def without_form(x: Column, lk: Lookups) -> Column:
 
 
 def strength(x: Column) -> Column:
-    return F.array_join(F.array_distinct(F.transform(F.regexp_extract_all(x, F.lit(STRENGTH), F.lit(0)), F.trim)), " + ")
+    return F.array_join(F.array_distinct(F.transform(F.regexp_extract_all(x, F.lit(STRENGTH), F.lit(0)), lambda s: F.trim(s))), " + ")
 
 
 def without_strength(x: Column) -> Column:

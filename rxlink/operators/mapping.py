@@ -204,9 +204,12 @@ def validate_unique(mapping: DataFrame) -> None:
             raise ValueError(f"{column} is not unique: {', '.join(twice)}")
 
 
-def final_mapping(strips: DataFrame, records: DataFrame, keep_unmatched: bool = True, method: str = "optimal", check: bool = True) -> DataFrame:
-    """Each strip with at most one record, in 16 columns, by strip row."""
-    scored = candidates(strips, records).withColumn("problem", F.lit(1))
+def final_mapping(strips: DataFrame, records: DataFrame, keep_unmatched: bool = True, method: str = "optimal", check: bool = True, scored: DataFrame | None = None) -> DataFrame:
+    """Each strip with at most one record, in 16 columns, by strip row.
+
+    scored: the candidates, if the caller has them already.
+    """
+    scored = (candidates(strips, records) if scored is None else scored).withColumn("problem", F.lit(1))
     scored = checkpointed(best_pairs(scored, "problem"))  # the pairs are scored once, not again for each use
     pairs = (optimal(scored) if method == "optimal" else greedy(scored, "problem")).drop("problem")
     matched = scored.join(pairs, ["image_name", "medicine_unique_key"]).drop("problem")
@@ -214,3 +217,18 @@ def final_mapping(strips: DataFrame, records: DataFrame, keep_unmatched: bool =
     if check:
         validate_unique(out)
     return projected(out.orderBy("strip_row"), FINAL_COLUMNS)
+
+
+def summary(mapping: DataFrame) -> DataFrame:
+    """One row: rows, distinct images, distinct matched medicines, unmatched images (A4)."""
+    key = F.when(~T.is_blank("medicine_unique_key"), F.col("medicine_unique_key"))
+    return mapping.agg(
+        F.count("*").alias("n_rows"), F.count_distinct("image_name").alias("n_images"), F.count_distinct(key).alias("n_medicines"), F.count_if(key.isNull()).alias("n_unmatched")
+    )
+
+
+def candidate_export(scored: DataFrame) -> DataFrame:
+    """Scored pairs as a flat table: two ratios of each comparison beside the scores (K3)."""
+    named = {"medicine": "medicine_name", "salt": "salt_name", "combined": "medicine_name_plus_salt_name"}
+    ratios = [F.col(f"{k}_scores")[r].alias(f"{n}_{r}") for k, n in named.items() for r in ("partial_ratio", "token_set_ratio")]
+    return scored.select("*", *ratios).drop(*[f"{k}_scores" for k in named])

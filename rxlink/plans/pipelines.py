@@ -9,6 +9,7 @@ from rxlink.functions import text as T
 from rxlink.operators import layout, mapping, merge, resolve
 from rxlink.operators.records import extract_records
 from rxlink.sources import io
+from rxlink.sources.catalog import Catalog
 from rxlink.sources.lookups import Lookups
 
 PRESCRIPTION_COLUMNS = (
@@ -17,11 +18,15 @@ PRESCRIPTION_COLUMNS = (
 )
 
 
-def map_files(spark: SparkSession, strip_csv: str, prescription_csv: str, output_csv: str | None = None, keep_unmatched: bool = True) -> DataFrame:
-    """Strips and prescription records from CSV to the 16-column mapping."""
+def map_files(spark: SparkSession, strip_csv: str, prescription_csv: str, output_csv: str | None = None, keep_unmatched: bool = True, all_candidates_csv: str | None = None) -> DataFrame:
+    """Strips and prescription records from CSV to the 16-column mapping; every scored pair too, if a path is given."""
     strips = io.with_ordinal(io.csv(spark, strip_csv, required=("image_name", "extracted_text")), "strip_row")
     records = io.with_ordinal(io.csv(spark, prescription_csv, required=("medicine_name", "salt_name")), "record_row")
-    out = mapping.final_mapping(strips, records, keep_unmatched)
+    scored = None
+    if all_candidates_csv:
+        scored = mapping.checkpointed(mapping.candidates(strips, records))
+        io.write_csv(mapping.candidate_export(scored), all_candidates_csv)
+    out = mapping.final_mapping(strips, records, keep_unmatched, scored=scored)
     if output_csv:
         io.write_csv(out, output_csv, single=True)
     return out
@@ -37,6 +42,19 @@ def prescription_records(texts: DataFrame, words: DataFrame | None, lk: Lookups,
     return merge.error_rows(texts.select("source_image").distinct(), out)
 
 
+def resolve_file(spark: SparkSession, catalog: Catalog, input_csv: str, output_csv: str | None = None, column: str | None = None, fuzzy: bool = True) -> DataFrame:
+    """A CSV's rows with six prediction columns; the first column is asked if none is named."""
+    df = io.csv(spark, input_csv)
+    column = column or df.columns[0]
+    mapping.require_columns(df, column)
+    if df.isEmpty():
+        raise ValueError("the input has no rows")
+    out = resolve.predictions(df, catalog.resolve(df.select(F.col(column).alias("input")), fuzzy), column)
+    if output_csv:
+        io.write_csv(out, output_csv)
+    return out
+
+
 def attach_salts(records: DataFrame, medicine: DataFrame, salt: DataFrame, column: str | None = None) -> DataFrame:
     """The first salt of each record's first medicine match."""
     asked = records.withColumn("salt_lookup_query", resolve.query_choice(records, column))

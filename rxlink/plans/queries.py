@@ -100,6 +100,11 @@ def natural_sort_key(spark, d):
     return table(spark, d, "customer").select("c_custkey", T.natural_key(F.concat(F.lit("Part_"), F.col("c_custkey").cast("string"), F.lit(".PNG"))).alias("natural_key"))
 
 
+@query("SELECT c_custkey, concat('strip_', printf('%03d', c_custkey), '_', trim(regexp_replace(concat(c_name, '#'), '[^A-Za-z0-9_-]', '_', 'g'), '_'), '.png') AS file_name FROM customer")
+def upload_names(spark, d):
+    return table(spark, d, "customer").select("c_custkey", T.upload_name(F.concat("c_name", F.lit("#.PNG")), "c_custkey", "strip").alias("file_name"))
+
+
 @query("SELECT l_orderkey AS doc, l_linenumber AS pos, concat('a', chr(10), 'Tab ', CAST(l_partkey AS VARCHAR)) AS kept FROM lineitem")
 def rx_section_cut(spark, d):
     text = F.concat(F.lit("Clinic 12\nRx: one\nRx\na\nTab "), F.col("l_partkey").cast("string"), F.lit("\nAdvice: rest\nSignature"))
@@ -444,6 +449,12 @@ def duplicate_check(spark, d):
     return mapping.duplicates(table(spark, d, "part"), "p_name")
 
 
+@query("SELECT count(*) AS n_rows, count(DISTINCT o_orderkey) AS n_images, count(DISTINCT CASE WHEN o_orderkey % 4 > 1 THEN o_custkey END) AS n_medicines, count(*) FILTER (WHERE o_orderkey % 4 < 2) AS n_unmatched FROM orders")
+def mapping_summary(spark, d):
+    key = F.when(F.col("o_orderkey") % 4 > 1, F.col("o_custkey").cast("string")).when(F.col("o_orderkey") % 4 == 1, F.lit(" "))
+    return mapping.summary(table(spark, d, "orders").select(F.col("o_orderkey").alias("image_name"), key.alias("medicine_unique_key")))
+
+
 @query("SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice DESC, o_orderpriority, o_orderkey) AS rank FROM orders")
 def multi_key_sort_rank(spark, d):
     w = Window.partitionBy("o_orderstatus").orderBy(F.desc("o_totalprice"), "o_orderpriority", "o_orderkey")

@@ -37,6 +37,7 @@ def one(spark, value, column):
         (T.query_text, "  Foo \t BAR ", "foo bar"),
         (T.salt_components, "Amoxycillin + Clavulanic Acid", ["Amoxycillin", "Clavulanic Acid"]),
         (T.salt_components, "a and b, c/d & e;", ["a", "b", "c", "d", "e"]),
+        (T.salt_components, "Vitamin A + Vitamin B1", ["Vitamin A", "Vitamin B1"]),
         (T.scanned_text, "Para S00 mg, 65O wg XS days 5ml", "Para 500 mg, 650 mg x 5 days 5 ml"),
         (T.scanned_text, "Dosage: 1\n\n\n\n  Food Instruction: x", "Dose: 1\nInstructions: x"),
         (T.prescription_part, "Clinic 5\nRx: a\nAdvice: b", "a"),
