@@ -15,6 +15,8 @@ from rxlink.llm import decontam, line_dedup, near_dedup, packing, toxicity
 from rxlink.llm.common import written
 from rxlink.llm.queries import BYTE_MODEL, tokenizer_file
 
+#: Least shingle similarity, in per cent, of the near duplicates that go.
+NEAR_PER_CENT = 80
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -34,7 +36,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the smallest doc_id stays."""
-    return _like_documents(near_dedup.keep_one(docs))
+    return _like_documents(near_dedup.keep_one(docs, NEAR_PER_CENT))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,8 +5,10 @@ are one class from the start (aggregated before anything is joined). For each
 class a SetSketch is made: 384 registers, each the exponentially spaced,
 truncated value of the least of Exp(1) points that the shingles put there;
 such registers are mergeable by maximum, and equal with a probability close to
-the Jaccard similarity. Eight registers make a band, 48 bands the keys:
-a pair at similarity 0.85 misses all of them once in four million.
+the Jaccard similarity. The registers are cut into bands, the keys, as long as
+a pair at the threshold misses all of them once in a million at most
+(``layout``): at 0.85 eight registers make a band, and 48 bands miss one pair in
+four million; at 0.80 six do, and 64 bands miss one in 280 million.
 
 Classes that share a band are gathered by linking each to the least one of its
 band (a star, never all pairs) and taking components. Inside each such
@@ -43,10 +45,11 @@ from rxlink.llm.graph import components
 
 WORDS = 5
 PER_CENT = 85
-ROWS, BANDS = 8, 48
-REGISTERS = ROWS * BANDS
+REGISTERS = 384
+#: The share of pairs at the threshold that may share no band.
+MISS = 1e-6
 BASE, RATE, TOP = 1.001, 20.0, 65534
-#: An estimate's standard error is 0.018 at 0.85; pairs under 0.70 are eight of them below.
+#: An estimate's standard error is 0.018 at 0.85 and 0.020 at 0.80; pairs this far below are seven of them or more away.
 SLACK = 0.15
 BLOCK = 512
 
@@ -55,6 +58,14 @@ _ODD = [np.uint64((0x9E3779B97F4A7C15 * (2 * i + 3)) & _MASK | 1) for i in range
 _CACHE_WORDS = 150_000
 
 
+def layout(per_cent: int) -> tuple[int, int]:
+    """Registers a band and bands: the longest bands that meet ``MISS`` at the threshold."""
+    for rows in (n for n in range(REGISTERS, 1, -1) if REGISTERS % n == 0):
+        if (1 - (per_cent / 100) ** rows) ** (REGISTERS // rows) <= MISS:
+            return rows, REGISTERS // rows
+    return 1, REGISTERS
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -128,11 +139,12 @@ def batches_of(sets: list[np.ndarray]) -> Iterator[list[np.ndarray]]:
         yield part
 
 
-def band_keys(registers: np.ndarray) -> np.ndarray:
+def band_keys(registers: np.ndarray, per_cent: int = PER_CENT) -> np.ndarray:
     """64-bit keys of the bands, by row of ``registers``."""
-    parts = registers.astype(np.uint64).reshape(len(registers), BANDS, ROWS)
-    key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), parts.shape[:2]).copy()
-    for i in range(ROWS):
+    rows, bands = layout(per_cent)
+    parts = registers.astype(np.uint64).reshape(len(registers), bands, rows)
+    key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), parts.shape[:2]).copy()
+    for i in range(rows):
         key = mix(key * _ODD[i] + parts[:, :, i])
     return key.view(np.int64)
 
@@ -157,22 +169,26 @@ def likely_similarity(one: np.ndarray, size: int, others: np.ndarray, sizes: np.
     return np.take_along_axis(j, score.argmax(axis=1)[:, None], axis=1)[:, 0]
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(per_cent: int):
     """Per document: the set's 128-bit digest as two longs, its size, its band keys."""
-    for batch in batches:
-        docs, texts = batch.column(0), batch.column(1)
-        for lo in range(0, batch.num_rows, 128):
-            sets = [shingles(t.as_py()) for t in texts[lo : lo + 128]]
-            keys = band_keys(np.concatenate([sketches(part) for part in batches_of(sets)]))
-            one, two = np.zeros(len(sets), dtype=np.uint64), np.zeros(len(sets), dtype=np.uint64)
-            for i, s in enumerate(sets):
-                if len(s):
-                    one[i], two[i] = mix(s).sum(dtype=np.uint64), mix(s * _ODD[7]).sum(dtype=np.uint64)
-            bands = [k.tolist() if len(s) else None for k, s in zip(keys, sets)]
-            yield pa.RecordBatch.from_arrays(
-                [docs[lo : lo + 128], pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array([len(s) for s in sets], pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
-                names=["__nd_doc", "__nd_a", "__nd_b", "__nd_n", "__nd_bands"],
-            )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs, texts = batch.column(0), batch.column(1)
+            for lo in range(0, batch.num_rows, 128):
+                sets = [shingles(t.as_py()) for t in texts[lo : lo + 128]]
+                keys = band_keys(np.concatenate([sketches(part) for part in batches_of(sets)]), per_cent)
+                one, two = np.zeros(len(sets), dtype=np.uint64), np.zeros(len(sets), dtype=np.uint64)
+                for i, s in enumerate(sets):
+                    if len(s):
+                        one[i], two[i] = mix(s).sum(dtype=np.uint64), mix(s * _ODD[7]).sum(dtype=np.uint64)
+                bands = [k.tolist() if len(s) else None for k, s in zip(keys, sets)]
+                yield pa.RecordBatch.from_arrays(
+                    [docs[lo : lo + 128], pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array([len(s) for s in sets], pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
+                    names=["__nd_doc", "__nd_a", "__nd_b", "__nd_n", "__nd_bands"],
+                )
+
+    return run
 
 
 class _Union:
@@ -207,7 +223,7 @@ def linked(ids: np.ndarray, texts: list[str], left: np.ndarray, right: np.ndarra
     sets = [shingles(texts[i]) for i in order]
     sizes = np.array([len(s) for s in sets])
     registers = np.concatenate([sketches(part) for part in batches_of(sets)])
-    keys = band_keys(registers)
+    keys = band_keys(registers, per_cent)
     known, out = _Union(len(ids)), []
     least = per_cent / 100
     for i in range(len(ids)):
@@ -241,11 +257,11 @@ def _verify(per_cent: int):
     return run
 
 
-def document_sets(docs: DataFrame) -> DataFrame:
+def document_sets(docs: DataFrame, per_cent: int = PER_CENT) -> DataFrame:
     """Written table ``__nd_doc, __nd_a, __nd_b, __nd_n, __nd_bands`` of all rows."""
     require(docs, "doc_id", "text")
     rows = docs.select(F.col("doc_id").cast("long"), text_of("text"))
-    return written(rows.mapInArrow(_sets, "__nd_doc long, __nd_a long, __nd_b long, __nd_n long, __nd_bands array<long>"), "near-sets")
+    return written(rows.mapInArrow(_sets(per_cent), "__nd_doc long, __nd_a long, __nd_b long, __nd_n long, __nd_bands array<long>"), "near-sets")
 
 
 def class_links(docs: DataFrame, sets: DataFrame, per_cent: int = PER_CENT) -> tuple[DataFrame, DataFrame]:
@@ -279,7 +295,7 @@ def class_links(docs: DataFrame, sets: DataFrame, per_cent: int = PER_CENT) -> t
 
 def near_duplicates(docs: DataFrame, per_cent: int = PER_CENT) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_shingles, component_id, kept``."""
-    sets = document_sets(docs)
+    sets = document_sets(docs, per_cent)
     classes, links = class_links(docs, sets, per_cent)
     labels = components(links, "near-components")
     named = classes.join(labels, F.col("__nd_rep") == F.col("id"), "left").select(
