@@ -1,11 +1,12 @@
 """Cases that an earlier round did only in part."""
 
 import random
+import re
+import textwrap
 
-import numpy as np
 from pyspark.sql import functions as F
 
-from rxlink.llm import near_dedup
+from rxlink.llm import license_scan, near_dedup
 
 DOCS = "doc_id long, text string"
 
@@ -47,3 +48,49 @@ def test_pipeline_stage_drops_copies_from_080(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     kept = {r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, docs, "").collect()}
     assert {r[0] for r in rows} - kept == gone
+
+
+# --- 6: licences wrapped over lines, inside lines and in files
+
+MIT_FILE = f"""MIT License
+
+Copyright (c) 2021 Somebody
+
+{license_scan.TEMPLATES["MIT-grant"]}
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+
+
+def wrapped(text, lead=""):
+    return "\n".join(textwrap.fill(x, 78 - len(lead), initial_indent=lead, subsequent_indent=lead) for x in text.split("\n"))
+
+
+def window_by_hand(t):
+    """The best window of all, by trying every run of words."""
+    w = re.findall("[a-z0-9]+", t.lower())
+    g, best = list(zip(w, w[1:])), 0.0
+    for text in (license_scan.TEMPLATES | license_scan.TEXTS).values():
+        v = re.findall("[a-z0-9]+", text.lower())
+        own = set(zip(v, v[1:]))
+        for a in range(len(g)):
+            for m in range(1, min(len(g) - a, int(len(own) * 1.5)) + 1):
+                s = set(g[a : a + m])
+                best = max(best, 2 * len(s & own) / (len(s) + len(own)))
+    return round(best, 6) if best >= license_scan.DICE - 1e-12 else 0.0
+
+
+def test_licenses_in_windows(spark):
+    apache = license_scan.TEMPLATES["Apache-2.0-header"]
+    rows = [
+        (1, wrapped(MIT_FILE), "MIT-grant", 1.0, 5), (2, MIT_FILE.replace("\n", " "), "MIT-grant", 1.0, 1), (3, f"int x;\n{wrapped(apache, '# ')}\nint y;", "Apache-2.0-header", 1.0, 2),
+        (4, "All is described in the manual. Released under the MIT License. See the wiki for more.", "MIT", 1.0, 1), (5, "a b c\nis Released under\nthe MIT\nLicense and so on and on", "MIT", 1.0, 2),
+        (6, wrapped(license_scan.TEXTS["CC-BY-4.0-text"]) + "\nSection 1 - Definitions.", "CC-BY-4.0-text", 1.0, 1), (7, "the license of the software and the manual under which it is released", None, 0.0, -1),
+    ]
+    changed = [(10, "so " + apache.replace("may not", "must never") + " ok"), (11, "x Released under the the MIT License y z"), (12, wrapped(apache.replace("Version", "v")) + "\ntail words"), (13, "Released under MIT MIT License now")]
+    b = F.col("__ls_best")
+    got = license_scan.scan_licenses(spark.createDataFrame([r[:2] for r in rows] + changed, DOCS))
+    got = {r[0]: tuple(r)[1:] for r in got.select("doc_id", b["license"], F.round(F.coalesce(b["dice"], F.lit(0.0)), 6), F.coalesce(b["unit"], F.lit(-1))).collect()}
+    assert {r[0]: got[r[0]] for r in rows} == {r[0]: r[2:] for r in rows}
+    assert {d: got[d][1] for d, _ in changed} == {d: window_by_hand(t) for d, t in changed}
