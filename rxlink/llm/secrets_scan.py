@@ -12,7 +12,7 @@ counts and the sum of ``c log2 c`` are updated for the character that enters
 and the one that leaves, so a candidate costs time in proportion to its length.
 The threshold depends on the character class (hex digits, letters and digits of
 one case, mixed). Allow-listed candidates (plain words, paths, digits alone,
-one repeated unit, documentation placeholders) and candidates that overlap a
+one repeated unit, documentation placeholders at an end or as a part) and candidates that overlap a
 base span are suppressed.
 
 Defined results
@@ -44,13 +44,19 @@ WINDOW = 20
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 #: A candidate's class and the least entropy (bits a character) of its best window.
 THRESHOLDS = (("hex", r"^[0-9A-Fa-f]+$", 3.0), ("one_case", r"^(?:[a-z0-9_-]+|[A-Z0-9_-]+)$", 3.4), ("mixed", r".", 3.7))
+#: Parts that look like words: runs of one case, capitalised or in camel case, or single letters.
+#: Possessive and with one way to match only, so long candidates take linear time and no stack.
+_WORDS = r"(?:[A-Z]?[a-z]{2,}+|[A-Z]{2,}(?=[A-Z][a-z]|[^A-Za-z]|$)|(?<![A-Za-z])[A-Za-z](?![A-Za-z])|[_-])"
+#: No word has as many consonants of one case in a row.
+_SPOKEN = r"(?!.*(?:[bcdfghjklmnpqrstvwxz]{6}|[BCDFGHJKLMNPQRSTVWXZ]{6}))"
+_NAMED = r"(?:example|sample|placeholder|changeme|x{4,}|dummy)"
 #: Candidates that are no secrets, whatever their entropy.
 ALLOW = (
-    r"^[A-Za-z_-]+$",  # words and identifiers without a digit
+    rf"^{_SPOKEN}{_WORDS}++$",  # words and identifiers without a digit
     r"^[0-9_+/=-]+$",  # numbers, rules
     r"^(.{1,8}?)\1+.?$",  # one unit repeated
-    r"(?i)example|sample|placeholder|changeme|xxxx|dummy",
-    r"^(?:/?[A-Za-z_.-]+[0-9]{0,4}/)+[A-Za-z0-9_.-]*$",  # paths
+    rf"(?i)^{_NAMED}|{_NAMED}(?:key)?$|[+/_=-]{_NAMED}(?:key)?[0-9]*[+/_=-]",  # placeholders at an end or as a part
+    rf"^{_SPOKEN}/?(?:{_WORDS}++[0-9]{{0,4}}/)++(?:{_WORDS}++[0-9]{{0,4}})?$",  # paths
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",  # UUIDs
 )
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"

@@ -2,11 +2,12 @@
 
 import random
 import re
+import string
 import textwrap
 
 from pyspark.sql import functions as F
 
-from rxlink.llm import license_scan, near_dedup
+from rxlink.llm import license_scan, near_dedup, secrets_scan
 
 DOCS = "doc_id long, text string"
 
@@ -94,3 +95,24 @@ def test_licenses_in_windows(spark):
     got = {r[0]: tuple(r)[1:] for r in got.select("doc_id", b["license"], F.round(F.coalesce(b["dice"], F.lit(0.0)), 6), F.coalesce(b["unit"], F.lit(-1))).collect()}
     assert {r[0]: got[r[0]] for r in rows} == {r[0]: r[2:] for r in rows}
     assert {d: got[d][1] for d, _ in changed} == {d: window_by_hand(t) for d, t in changed}
+
+
+# --- 5: secrets that allow-list rules took for words, paths and placeholders
+
+
+def test_secrets_that_look_like_no_word(spark):
+    rng = random.Random(3)
+    letters, base64 = string.ascii_letters, string.ascii_letters + string.digits + "+/"
+    made = lambda a, n: "".join(rng.choice(a) for _ in range(n))
+    keys = [k for k in (made(base64, 40) for _ in range(900)) if "/" in k][:300]
+    tokens = [made(letters, rng.randrange(20, 41)) for _ in range(300)]
+    blobs = [made(base64, 60) + w + made(base64, 60) for w in ("xxxx", "sample", "Dummy") for _ in range(20)]
+    clean = [
+        "path/to/some/long/dir/file", "src/main/java/Engine2/RecordPlan", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "getUserNameFromRecordPlan", "some_long_identifier_of_words", "your-api-key-placeholder-12345",
+        "x" * 24 + "Ab3", "/usr/share/common/licenses/",
+    ]
+    rows = list(enumerate(keys + tokens + blobs + clean))
+    got = dict(secrets_scan.scan_secrets(spark.createDataFrame(rows, DOCS)).select("doc_id", secrets_scan.spelled(F.col("__ss_spans"))).collect())
+    found = [got[i] == f"entropy:0:{len(t)}" for i, t in rows]
+    assert sum(found[:300]) >= 295 and sum(found[300:600]) >= 270 and all(found[600:660])
+    assert not any(got[i] for i, _ in rows[660:])
