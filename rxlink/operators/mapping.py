@@ -14,7 +14,7 @@ from rxlink.functions import text as T
 HIGH, MEDIUM, LOW = 85.0, 70.0, 50.0
 UNMATCHED = "Unmatched - no unused medicine available"
 MAX_BROADCAST_ROWS = 100_000
-MAX_PROBLEM = 5_000
+MAX_CELLS = 25_000_000
 FINAL_COLUMNS = (
     "image_name", "extracted_text", "prescription_record_number", "prescription_medicine_name", "prescription_dosage_form_meaning", "prescription_strength", "prescription_dose_pattern",
     "prescription_dose_pattern_meaning", "prescription_dose_frequency", "prescription_dose_frequency_meaning", "prescription_duration", "prescription_instruction_meaning", "prescription_salt_name",
@@ -162,7 +162,7 @@ def solve(group: pd.DataFrame) -> pd.DataFrame:
     """Optimal pairs of one problem: rows image_name, medicine_unique_key, assignment_score, strip_row, record_row."""
     images = group.groupby("image_name")["strip_row"].min().reset_index().sort_values(["strip_row", "image_name"])["image_name"].tolist()
     keys = group.groupby("medicine_unique_key")["record_row"].min().reset_index().sort_values(["record_row", "medicine_unique_key"])["medicine_unique_key"].tolist()
-    if max(len(images), len(keys)) > MAX_PROBLEM:
+    if len(images) * len(keys) > MAX_CELLS:  # the matrix, and with its smaller side the time, are bounded
         raise ValueError(f"a problem of {len(images)} x {len(keys)} is too large to be solved in one task; split it or use greedy()")
     score = np.full((len(images), len(keys)), -1e18)
     i, k = group["image_name"].map({x: n for n, x in enumerate(images)}).to_numpy(), group["medicine_unique_key"].map({x: n for n, x in enumerate(keys)}).to_numpy()

@@ -5,9 +5,11 @@ import re
 import string
 import textwrap
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from rxlink.llm import license_scan, near_dedup, secrets_scan
+from rxlink.operators import mapping
 
 DOCS = "doc_id long, text string"
 
@@ -116,3 +118,17 @@ def test_secrets_that_look_like_no_word(spark):
     found = [got[i] == f"entropy:0:{len(t)}" for i, t in rows]
     assert sum(found[:300]) >= 295 and sum(found[300:600]) >= 270 and all(found[600:660])
     assert not any(got[i] for i, _ in rows[660:])
+
+
+# --- mapping: lopsided problems
+
+
+def test_lopsided_problem_is_solved():
+    n = 6_000
+    rng = random.Random(1)
+    rows = [(f"i{r:05}", k, rng.random(), r, j) for r in range(n) for j, k in enumerate("abc")]
+    group = pd.DataFrame(rows, columns=["image_name", "medicine_unique_key", "assignment_score", "strip_row", "record_row"])
+    pairs = mapping.solve(group)
+    best = group.groupby("medicine_unique_key")["assignment_score"].max().sum()
+    got = pairs.merge(group, on=["image_name", "medicine_unique_key"])
+    assert len(got) == 3 and got["image_name"].is_unique and abs(got["assignment_score"].sum() - best) < 1e-9  # the three best rows differ
