@@ -6,7 +6,8 @@ the toxic rows), how near hits stand to second-person words, capitals,
 punctuation, and obfuscation (letters mixed with digits or symbols, drawn-out
 letters, hits only seen after undoing both). Trees are fitted to the logistic
 loss on histogram bins; a fold of the rows that the trees and the lexicon did
-not see calibrates their output by isotonic regression.
+not see calibrates their output by isotonic regression; with fewer than 20 rows
+of either class in that fold the output stays the trees' own sigmoid.
 
 The model is fitted on at most ``MAX_ROWS`` labelled rows, the first in the
 order of a hash of their id; scoring reads every whole text once, without a
