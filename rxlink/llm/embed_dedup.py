@@ -7,8 +7,9 @@ the part of the squared distance that is proportional to its dimensions, and a
 pair within the whole budget is within at least one block's. Each block is
 range-joined: the first two coordinates give a grid cell of two radii, a vector
 has one home cell and is sent as a probe to the at most four cells its radius
-touches. A cell's homes are cut into chunks, so that no task gathers an
-unbounded cell (the number of cells is bounded by the unit sphere, whatever the
+touches. A cell's homes are cut into chunks of bounded size, and all probes of
+the cell are copied to each chunk, so what a task gathers still grows with the
+cell's probes (the number of cells is bounded by the unit sphere, whatever the
 input). In a task, vectors are sorted by the block's third coordinate, a matrix product
 over those within a radius of each other bounds the block distances, and a pair
 counts in the first block whose budget it meets, so no pair is counted twice
