@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,6 +67,11 @@ def text_of(col: str | Column) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit("")).cast("string")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, also where it is used inside a lambda."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 #: Arrow batches of whole texts: rows and bytes at most, unless the session states its own.
 BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20
 

@@ -34,13 +34,12 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rxlink.llm.common import require, text_of
+from rxlink.llm.common import let, require, text_of
 
 DICE = 0.8
 #: Licence notices as their licences word them.
@@ -114,11 +113,6 @@ def bigrams(words: Column) -> Column:
     return F.array_distinct(running_bigrams(words))
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with the value computed once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def best_window(text: Column, sets: dict[str, list[str]], dice: float) -> Column:
     """Struct of d (the coefficient, negated), less (the template's bigrams, negated), at (place of the first word), license; null if no window is compared."""
     strings = lambda x: F.array(*[F.lit(g) for g in x])
@@ -134,7 +128,7 @@ def best_window(text: Column, sets: dict[str, list[str]], dice: float) -> Column
 
     def judged(g: Column, t: Column, a: Column, b: Column) -> Column:
         score = lambda s: -(2.0 * F.size(F.array_intersect(s, t["own"])) / (F.size(s) + F.size(t["own"])))
-        return F.struct(_let(F.array_distinct(F.slice(g, a, b - a + 1)), score).alias("d"), (-F.size(t["own"])).alias("less"), a.alias("at"), t["license"].alias("license"))
+        return F.struct(let(F.array_distinct(F.slice(g, a, b - a + 1)), score).alias("d"), (-F.size(t["own"])).alias("less"), a.alias("at"), t["license"].alias("license"))
 
     def best(g: Column, t: Column) -> Column:
         starts = F.filter(F.sequence(F.lit(1), F.size(g)), lambda a: F.array_contains(t["own"], F.get(g, a - 1)))
@@ -142,10 +136,10 @@ def best_window(text: Column, sets: dict[str, list[str]], dice: float) -> Column
 
     def over(g: Column) -> Column:
         known = F.array_intersect(g, strings(sorted({x for own in sets.values() for x in own})))
-        fits = _let(known, lambda k: F.filter(F.array(*rows), lambda t: F.size(F.array_intersect(k, t["own"])) >= t["low"]))
+        fits = let(known, lambda k: F.filter(F.array(*rows), lambda t: F.size(F.array_intersect(k, t["own"])) >= t["low"]))
         return F.array_min(F.transform(fits, lambda t: best(g, t)))
 
-    return _let(running_bigrams(F.regexp_extract_all(text, F.lit(WORDS), F.lit(0))), over)
+    return let(running_bigrams(F.regexp_extract_all(text, F.lit(WORDS), F.lit(0))), over)
 
 
 def line_of(text: Column, at: Column) -> Column:
@@ -192,7 +186,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, dice
 
     def found(unit: Column) -> Column:
         whole = unit["d"] <= -1.0 + 1e-12  # no window is better
-        return _let(F.when(whole.isNull() | ~whole, best_window(text, spoken, dice)), lambda w: chosen(unit, w))
+        return let(F.when(whole.isNull() | ~whole, best_window(text, spoken, dice)), lambda w: chosen(unit, w))
 
     def chosen(unit: Column, window: Column) -> Column:
         ahead = window["d"].isNotNull() & (window["d"] < F.coalesce(unit["d"], F.lit(0.0)) - 1e-12)
@@ -202,4 +196,4 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, dice
         return F.when(-d >= dice - 1e-12, F.struct((-d).alias("dice"), name.alias("license"), place.alias("unit")).cast(kind))
 
     out = docs.withColumn("__ls_text", _lower(text_of("text")))
-    return out.withColumn("__ls_best", F.when(anchored(text), _let(best, found))).drop("__ls_text")
+    return out.withColumn("__ls_best", F.when(anchored(text), let(best, found))).drop("__ls_text")

@@ -30,7 +30,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rxlink.llm.common import require, text_of
+from rxlink.llm.common import let, require, text_of
 
 #: The base patterns and least lengths.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -61,28 +61,50 @@ ALLOW = (
 )
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 _SPAN = "array<struct<start:int,kind:int,end:int>>"
+_FOUND = "array<struct<start:int,kind:int,end:int,c:string>>"
+#: Long lists are folded in parts of this many entries: appending to an array copies it.
+PART = 256
+#: Long candidates are judged in pieces of this many windows, which overlap by all but one character of one.
+PIECE = 4096
+#: A count of at most WINDOW takes five bits, so a long holds twelve characters' counts.
+_BITS, _PACK = 5, 12
+
+
+def _parts(rows: Column) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / PART).cast("int")), lambda k: F.slice(rows, k * PART + 1, PART))
 
 
 def _located(text: Column, pattern: str, kind: int, least: int, group: int = 0) -> Column:
-    """Spans of a pattern's matches whose group has at least ``least`` characters.
+    """Spans (with the matched text) of a pattern's matches whose group has at least ``least`` characters.
 
     The pieces between matches and the matches alternate, so a running sum of
-    their lengths places every match.
+    their lengths places every match; it is taken inside parts first, then over
+    the parts, so that a text with many matches takes time in proportion.
     """
     p = F.lit(pattern)
     pieces, matches = F.split(text, pattern, -1), F.regexp_extract_all(text, p, F.lit(0))
     kept = F.transform(F.regexp_extract_all(text, p, F.lit(group)), lambda x: F.length(x) >= least)
-    rows = F.arrays_zip(F.transform(F.slice(pieces, 1, F.size(matches)), F.length).alias("gap"), F.transform(matches, F.length).alias("own"), kept.alias("ok"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
+    rows = F.arrays_zip(F.transform(F.slice(pieces, 1, F.size(matches)), F.length).alias("gap"), matches.alias("own"), kept.alias("ok"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(_FOUND).alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + x["gap"]
-        end = begin + x["own"]
-        span = F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end"))
+        end = begin + F.length(x["own"])
+        span = F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["own"].alias("c"))
         return F.struct(end.alias("at"), F.when(x["ok"], F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
-    found = F.aggregate(rows, start, step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern if least == 0 else _fast(pattern, least)), found).otherwise(F.array().cast(_SPAN))
+    def placed(inside: Column) -> Column:
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        before = F.aggregate(inside, zero, lambda acc, x: F.struct((acc["at"] + x["at"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+        moved = F.zip_with(inside, before, lambda x, at: F.transform(x["out"], lambda s: F.struct((s["start"] + at).alias("start"), s["kind"], (s["end"] + at).alias("end"), s["c"])))
+        return F.flatten(moved).cast(_FOUND)
+
+    inside = let(rows, lambda r: F.transform(_parts(r), lambda part: F.aggregate(part, start, step)))
+    return F.when(text.rlike(pattern if least == 0 else _fast(pattern, least)), let(inside, placed)).otherwise(F.array().cast(_FOUND))
+
+
+def _bare(spans: Column) -> Column:
+    return F.transform(spans, lambda s: F.struct(s["start"], s["kind"], s["end"])).cast(_SPAN)
 
 
 def _fast(pattern: str, least: int) -> str:
@@ -90,31 +112,42 @@ def _fast(pattern: str, least: int) -> str:
     return {HEX: rf"[0-9a-f]{{{least}}}", ACCESS: rf"AKIA[A-Z0-9]{{{least - 4}}}"}.get(pattern, pattern)
 
 
-def best_entropy(candidate: Column) -> Column:
-    """The largest entropy of a full window, by incremental counts."""
-    at = F.transform(F.split(candidate, ""), lambda c: F.instr(F.lit(_ALPHABET), c))
-    table = F.array(*[F.lit(0.0 if c < 2 else c * math.log2(c)) for c in range(WINDOW + 2)])
-    zero = F.struct(F.array_repeat(F.lit(0), len(_ALPHABET) + 1).alias("n"), F.lit(0.0).alias("s"), F.lit(0.0).alias("best"), F.lit(0).alias("i"))
+def _best_in_piece(piece: Column) -> Column:
+    """The largest entropy of a full window of a short text, by incremental counts.
 
-    def term(c: Column) -> Column:
-        return F.get(table, c)
+    The counts stand packed in a few longs; a step adds one to the entering
+    character's, takes one from the leaving character's, and changes the sum of
+    ``c log2 c`` by their terms alone.
+    """
+    table = F.array(*[F.lit(0.0 if c < 2 else c * math.log2(c)) for c in range(WINDOW + 2)])
+    at = F.transform(F.split(piece, ""), lambda c: F.instr(F.lit(_ALPHABET), c) - 1)
+    at = F.transform(at, lambda i: F.struct(F.floor(i / _PACK).cast("int").alias("k"), (i % _PACK * _BITS).alias("shift")))
+    none = F.struct(F.lit(-1).alias("k"), F.lit(0).alias("shift"))
+    pairs = F.arrays_zip(at.alias("in"), F.concat(F.array_repeat(none, WINDOW), F.slice(at, 1, F.greatest(F.lit(0), F.size(at) - WINDOW))).alias("out"))
+    longs = -(-len(_ALPHABET) // _PACK)
+    zero = F.struct(F.array_repeat(F.lit(0).cast("long"), longs).alias("n"), F.lit(0.0).alias("s"), F.lit(0.0).alias("best"), F.lit(0).alias("i"))
+    term = lambda c: F.get(table, c)
+    count = lambda n, x: F.call_function("shiftright", F.get(n, x["k"]), x["shift"]).bitwiseAND(F.lit((1 << _BITS) - 1)).cast("int")
+    one = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x["shift"])
 
     def step(acc: Column, x: Column) -> Column:
         enters, leaves = x["in"], x["out"]
-        was_in, was_out = F.get(acc["n"], enters), F.get(acc["n"], leaves)
-        same = enters == leaves
-        # the sum changes by the entering and the leaving character's terms; index 0 stands for none
-        s = F.when(same, acc["s"]).otherwise(acc["s"] + term(was_in + 1) - term(was_in) + F.when(leaves > 0, term(was_out - 1) - term(was_out)).otherwise(0.0))
-        n = F.when(same, acc["n"]).otherwise(F.transform(acc["n"], lambda c, k: c + F.when(k == enters, 1).otherwise(0) - F.when((k == leaves) & (leaves > 0), 1).otherwise(0)))
-        i = acc["i"] + 1
-        h = F.lit(math.log2(WINDOW)) - s / WINDOW
-        best = F.when(i >= WINDOW, F.greatest(acc["best"], h)).otherwise(acc["best"])
-        return F.struct(n.alias("n"), s.alias("s"), best.alias("best"), i.alias("i"))
-
-    pairs = F.arrays_zip(at.alias("in"), F.concat(F.array_repeat(F.lit(0), WINDOW), F.slice(at, 1, F.greatest(F.lit(0), F.size(at) - WINDOW))).alias("out"))
+        change = lambda n: F.transform(n, lambda c, k: c + F.when(k == enters["k"], one(enters)).otherwise(0) - F.when(k == leaves["k"], one(leaves)).otherwise(0))
+        was_in, was_out = count(acc["n"], enters), count(acc["n"], leaves)
+        s = acc["s"] + term(was_in + 1) - term(was_in) + F.when(leaves["k"] >= 0, term(was_out - 1) - term(was_out)).otherwise(0.0)
+        best = F.when(acc["i"] + 1 >= WINDOW, F.greatest(acc["best"], F.lit(math.log2(WINDOW)) - s / WINDOW)).otherwise(acc["best"])
+        moved = F.struct(change(acc["n"]).alias("n"), s.alias("s"), best.alias("best"), (acc["i"] + 1).alias("i"))
+        return F.when(enters == leaves, acc).otherwise(moved)
+
     return F.aggregate(pairs, zero, step, lambda acc: acc["best"])
 
 
+def best_entropy(candidate: Column) -> Column:
+    """The largest entropy of a full window; long candidates are taken in overlapping pieces."""
+    starts = F.sequence(F.lit(0), F.floor(F.greatest(F.length(candidate) - WINDOW, F.lit(0)) / PIECE).cast("int"))
+    return F.array_max(F.transform(starts, lambda k: _best_in_piece(candidate.substr(k * PIECE + 1, F.lit(PIECE + WINDOW - 1)))))
+
+
 def _suspicious(candidate: Column) -> Column:
     allowed = F.lit(False)
     for pattern in ALLOW:
@@ -130,12 +163,18 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     require(docs, "text")
     text = F.col("__ss_text")
     out = docs.withColumn("__ss_text", text_of("text"))
-    base = F.concat(_located(text, ASSIGN, 0, MIN_ASSIGN, 2), _located(text, ACCESS, 1, MIN_ACCESS), _located(text, HEX, 2, MIN_HEX))
+    base = F.concat(*(_bare(x) for x in (_located(text, ASSIGN, 0, MIN_ASSIGN, 2), _located(text, ACCESS, 1, MIN_ACCESS), _located(text, HEX, 2, MIN_HEX))))
     out = out.withColumn("__ss_base", F.array_sort(base))
-    found = F.when(text.rlike(CANDIDATE), _located(text, CANDIDATE, 3, 0)).otherwise(F.array().cast(_SPAN))
-    clear = F.filter(found, lambda s: ~F.exists(F.col("__ss_base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    judged = F.transform(clear, lambda s: F.struct(s.alias("span"), text.substr(s["start"] + 1, s["end"] - s["start"]).alias("c")))
-    added = F.transform(F.filter(judged, lambda x: _suspicious(x["c"])), lambda x: x["span"])
+    found = F.when(text.rlike(CANDIDATE), _located(text, CANDIDATE, 3, 0)).otherwise(F.array().cast(_FOUND))
+    meets = lambda b, start, end: (b["start"] < end) & (start < b["end"])
+
+    def clear(part: Column) -> Column:
+        """The part's candidates that overlap no base span; those near the part are sought once."""
+        near = F.filter(F.col("__ss_base"), lambda b: meets(b, F.get(part, F.lit(0))["start"], F.element_at(part, -1)["end"]))
+        return let(near, lambda n: F.filter(part, lambda s: ~F.exists(n, lambda b: meets(b, s["start"], s["end"]))))
+
+    alone = let(found, lambda f: F.when((F.size("__ss_base") > 0) & (F.size(f) > 0), F.flatten(F.transform(_parts(f), clear))).otherwise(f))
+    added = _bare(F.filter(alone, lambda s: _suspicious(s["c"])))
     return out.withColumn("__ss_spans", F.array_sort(F.concat(F.col("__ss_base"), added))).drop("__ss_text")
 
 
