@@ -151,7 +151,7 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
     occ = occ.repartitionByRange("__ld_h", F.desc("__ld_doc")).sortWithinPartitions("__ld_h", F.desc_nulls_last("__ld_doc"), "__ld_row").checkpoint()
     crossing: dict[bytes, tuple[int, int | None]] = {}
     tasks: dict[bytes, int] = {}
-    for r in occ.select("__ld_h", "__ld_doc").mapInArrow(_borders, "h binary, n long, doc long").toLocalIterator():  # two rows a task
+    for r in occ.select("__ld_h", "__ld_doc").mapInArrow(_borders, "h binary, n long, doc long").collect():  # one job; two rows a task
         h = bytes(r.h)
         n, doc = crossing.get(h, (0, None))
         crossing[h], tasks[h] = (n + r.n, _larger(doc, r.doc)), tasks.get(h, 0) + 1
