@@ -4,11 +4,11 @@ Each task tokenizes its documents and packs them online. A document's tokens
 are cut into full windows and a tail; the tail goes to that fill level of the
 partially filled windows (or an empty one) that leaves the sum of the squared
 counts of windows per level least, the counts being tracked in one array of
-levels. When a task ends, or holds more than ``MAX_OPEN`` windows, the windows
-still open are closed: pieces are cut from the emptiest to fill the fullest
-exactly, and the one left over is cut into lengths that are powers of two,
-which need no padding. Nothing is shuffled, and a task holds only its open
-windows' tokens.
+levels. When a task ends, the windows still open are closed: pieces are cut from
+the emptiest to fill the fullest exactly, and the one left over is cut into
+lengths that are powers of two, which need no padding. Nothing is shuffled. A
+task holds only its open windows' tokens, and of those ``OPEN`` windows at most:
+one more, and the fullest alone is closed, filled from the emptiest.
 
 Defined results
     null or empty text: the end token alone. Rows that repeat a ``doc_id`` are
@@ -22,6 +22,7 @@ Defined results
 from __future__ import annotations
 
 import json
+import random
 import re
 import zlib
 from collections.abc import Iterator
@@ -36,7 +37,7 @@ from rxlink.llm.common import require, text_of
 
 WINDOW = 2048
 END_ID = 1
-MAX_OPEN = 2048
+OPEN = 2048
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _SCHEMA = pa.schema([(c.split()[0], pa.int64()) for c in PIECES.split(", ")])
 
@@ -44,7 +45,7 @@ _SCHEMA = pa.schema([(c.split()[0], pa.int64()) for c in PIECES.split(", ")])
 class Packer:
     """Sum-of-squares packing of one task's documents into windows of ``size``."""
 
-    def __init__(self, size: int = WINDOW, first_id: int = 0, max_open: int = MAX_OPEN):
+    def __init__(self, size: int = WINDOW, first_id: int = 0, max_open: int = OPEN):
         self.size, self.next_id, self.max_open = size, first_id, max_open
         self.counts = np.zeros(size + 1, dtype=np.int64)  # open windows by fill level
         self.levels: list[list[list]] = [[] for _ in range(size + 1)]  # windows: lists of (doc, start, ids, doc_tokens)
@@ -77,12 +78,7 @@ class Packer:
         if n == 0:
             return
         h = self.level_for(n)
-        if h:
-            window = self.levels[h].pop()
-            self.counts[h] -= 1
-            self.open -= 1
-        else:
-            window = []
+        window = self._take(h) if h else []
         window.append((doc, at, ids[at:].copy(), total))
         if h + n == self.size:
             self._close(window)
@@ -90,8 +86,47 @@ class Packer:
         self.levels[h + n].append(window)
         self.counts[h + n] += 1
         self.open += 1
-        if self.open > self.max_open:
-            self.finish()
+        while self.open > self.max_open:
+            self._close_fullest()
+
+    def _take(self, level: int) -> list:
+        self.counts[level] -= 1
+        self.open -= 1
+        return self.levels[level].pop()
+
+    def _close_fullest(self) -> None:
+        """Fills the fullest window with pieces of the emptiest ones."""
+        levels = np.flatnonzero(self.counts)
+        fill = int(levels[-1])
+        full = self._take(fill)
+        while fill < self.size and self.open:
+            low = int(np.flatnonzero(self.counts)[0])
+            other = self._take(low)
+            fill += self._pour(other, full, self.size - fill)
+            left = sum(len(p[2]) for p in other)
+            if left:
+                self.levels[left].append(other)
+                self.counts[left] += 1
+                self.open += 1
+        if fill == self.size:
+            self._close(full)
+        else:  # the emptier ones together did not fill it
+            self.levels[fill].append(full)
+            self.counts[fill] += 1
+            self.open += 1
+
+    @staticmethod
+    def _pour(source: list, window: list, room: int) -> int:
+        """Moves up to ``room`` tokens from the end of ``source`` to ``window``; how many."""
+        moved = 0
+        while source and moved < room:
+            doc, start, ids, total = source.pop()
+            cut = max(0, len(ids) - (room - moved))
+            if cut:
+                source.append((doc, start, ids[:cut], total))
+            window.append((doc, start + cut, ids[cut:], total))
+            moved += len(ids) - cut
+        return moved
 
     def finish(self) -> None:
         """Closes what is open without padding."""
@@ -105,12 +140,7 @@ class Packer:
                 break
             room = self.size - sum(len(p[2]) for p in window)
             while room and low > k:
-                doc, start, ids, total = rest[low].pop()
-                if len(ids) > room:
-                    rest[low].append((doc, start, ids[: len(ids) - room], total))
-                    start, ids = start + len(ids) - room, ids[len(ids) - room :]
-                window.append((doc, start, ids, total))
-                room -= len(ids)
+                room -= self._pour(rest[low], window, room)
                 if not rest[low]:
                     low -= 1
             if not room:
@@ -139,7 +169,8 @@ class ByteBpe:
 
     The file's own vocabulary, read by tokenizers, is handed to tiktoken's
     merger, which finds the same ids about three times as fast; the two are
-    compared on a sample when the file is loaded, and where they differ, or the
+    compared on random texts and on every character of the basic plane when the
+    file is loaded, and where they differ, or the
     file is of another kind, tokenizers encodes everything. Texts with one of
     the tokenizer's special strings, or with characters on whose classes the
     two libraries' patterns may differ, go to tokenizers too.
@@ -148,6 +179,7 @@ class ByteBpe:
     #: Fixed value: the pattern by which this kind of file cuts words.
     WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
     SAMPLE = "The cat's 12 hats,\n\n  they'll  sit -- été où Ñandú, 3.14!\n über\t123abc ''s x"
+    SAMPLES = 400
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -170,7 +202,20 @@ class ByteBpe:
         of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))}
         ranks = {bytes(of[c] for c in token): i for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if token not in added}
         encode = tiktoken.Encoding("byte-level", pat_str=self.WORDS, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        return encode if encode(self.SAMPLE) == self.tokenizer.encode(self.SAMPLE, add_special_tokens=False).ids else None
+        same = all(encode(t) == self.tokenizer.encode(t, add_special_tokens=False).ids for t in self._samples())
+        return encode if same else None
+
+    def _samples(self) -> Iterator[str]:
+        """The sample, random mixtures of it, and every character of the basic plane that ``odd`` lets through."""
+        yield self.SAMPLE
+        rng = random.Random(1)
+        for _ in range(self.SAMPLES):
+            yield "".join(rng.choice(self.SAMPLE) for _ in range(rng.randrange(1, 80)))
+        plane = [c for c in map(chr, [*range(1, 0xD800), *range(0xE000, 0x10000)]) if not self.odd(c)]
+        for lo in range(0, len(plane), 512):
+            part = plane[lo : lo + 512]
+            yield "".join(part)
+            yield " a".join(part)
 
     def encode(self, text: str) -> np.ndarray:
         if self.fast is None or self.odd(text):

@@ -44,3 +44,30 @@ def test_entropy_across_pieces(spark):
     rows = ["ab" * k + "".join(rng.choice("XYZ0189+/cdefgh") for _ in range(25)) + "ab" * 2500 for k in (0, 2030, 2038, 2044, 2048, 2055)]
     got = spark.createDataFrame([(w,) for w in rows], "c string").select("c", secrets_scan.best_entropy(F.col("c"))).collect()
     assert Counter(round(r[1], 9) for r in got) == Counter(round(window_entropy(w), 9) for w in rows)
+
+
+# --- 10: packing
+
+
+@pytest.mark.parametrize("most", [1, 3, 20])
+def test_packing_with_few_open_windows(most):
+    import numpy as np
+
+    from rxlink.llm import packing
+
+    rng = random.Random(most)
+    p = packing.Packer(64, max_open=most)
+    sizes = [rng.choice([1, 2, 3, 40, 63, 64, 65, 200]) for _ in range(500)]
+    for doc, n in enumerate(sizes):
+        p.add(doc, np.arange(n, dtype=np.uint32))
+        assert p.open <= most and p.open == sum(map(len, p.levels)) and [len(x) for x in p.levels] == p.counts.tolist()
+    p.finish()
+    pieces, fill = Counter(), Counter()
+    for doc, start, length, _, total, window, offset in sorted(p.out, key=lambda r: (r[0], r[1])):
+        assert start == pieces[doc] and total == sizes[doc]
+        pieces[doc] += length
+    for *_, length, _, _, window, offset in sorted(p.out, key=lambda r: (r[5], r[6])):
+        assert offset == fill[window]
+        fill[window] += length
+    assert pieces == Counter(dict(enumerate(sizes))) and all(n == 64 or n & (n - 1) == 0 for n in fill.values())
+    assert sum(n < 64 for n in fill.values()) <= 6  # the last window's powers of two alone
