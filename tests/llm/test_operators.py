@@ -124,7 +124,7 @@ def test_isotonic_is_monotone():
 # --- 3: near dedup
 
 
-def near_by_hand(rows):
+def near_by_hand(rows, per_cent=85):
     sets = []
     for d, t in rows:
         w = [x for x in WS.split(lower(t or "")) if x]
@@ -138,7 +138,7 @@ def near_by_hand(rows):
 
     for i, (a, x) in enumerate(sets):
         for j, (b, y) in enumerate(sets[:i]):
-            if x and y and a is not None and b is not None and 100 * len(x & y) >= 85 * len(x | y):
+            if x and y and a is not None and b is not None and 100 * len(x & y) >= per_cent * len(x | y):
                 up[root(i)] = root(j)
     out = Counter()
     for i, (d, x) in enumerate(sets):
@@ -536,7 +536,7 @@ def test_pipeline(spark):
         if name == "line_dedup":
             assert Counter(after) == Counter({(k[0], k[3]): v for k, v in lines_by_hand(before).items()})
         if name == "near_dedup":
-            assert {d for d, _ in after} == {k[0] for k in near_by_hand(before) if k[3]}
+            assert {d for d, _ in after} == {k[0] for k in near_by_hand(before, corpus_pipeline.NEAR_PER_CENT) if k[3]}
         if name == "decontamination":
             items = [(r["item_id"], r["text"]) for r in table("benchmark")]
             assert {d for d, _ in after} == {k[0] for k in hits_by_hand(before, items) if not k[2]}
