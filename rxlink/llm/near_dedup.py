@@ -10,21 +10,24 @@ a pair at the threshold misses all of them once in a million at most
 (``layout``): at 0.85 eight registers make a band, and 48 bands miss one pair in
 four million; at 0.80 six do, and 64 bands miss one in 280 million.
 
-Classes that share a band are gathered by linking each to the least one of its
-band (a star, never all pairs) and taking components. Inside each such
-candidate group pairs that share a band are compared: the similarity is
-estimated jointly from the registers that are larger, smaller and equal by
-maximum likelihood, with the set sizes known, and what is not far below the
-threshold is verified on the full sets. Pairs that verified links already
-connect are passed over, as they cannot change a component. Only the links of
-a spanning forest leave the task. Groups larger than ``BLOCK`` are cut into
-blocks, each pair of blocks with compatible set sizes being a task of its own,
-so no task gathers an unbounded group.
+Of each band, every class is first compared with the least one (a star, never
+all pairs): the similarity is estimated jointly from the registers that are
+larger, smaller and equal by maximum likelihood, with the set sizes known, and
+what is not far below the threshold is verified on the full sets. A hub of many
+partners is copied to chunks of them. The links found are contracted, and a
+band whose other members are then all connected is done, so that a large group
+of near copies costs work in proportion to its size. In the other bands pairs
+that are not yet connected are compared, the band cut into blocks of ``BLOCK``
+and each pair of blocks being a task of its own; registers (768 bytes) go
+there, and texts only of documents with a likely partner. A pair is compared in
+the first band it shares alone, and only links of a spanning forest leave the
+task.
 
 Defined results
     no words (null, empty or blank text): an empty set, linked with nothing.
     Fewer than five words: the whole sequence is the one shingle. Rows that
-    repeat a ``doc_id``: each row has its own set and component. Null
+    repeat a ``doc_id``: each row has its own set and component (classes are
+    named by numbers of their own, not by documents), and is kept or not by itself. Null
     ``doc_id``: its set links nothing else and its component is null, kept
     true. Exact copies are linked. Empty table: empty result. Other columns
     pass through; internal names start with ``__nd_``.
@@ -52,10 +55,13 @@ BASE, RATE, TOP = 1.001, 20.0, 65534
 #: An estimate's standard error is 0.018 at 0.85 and 0.020 at 0.80; pairs this far below are seven of them or more away.
 SLACK = 0.15
 BLOCK = 512
+#: Partners of a hub that one task takes.
+STAR_CHUNK = 4096
 
 _MASK = (1 << 64) - 1
 _ODD = [np.uint64((0x9E3779B97F4A7C15 * (2 * i + 3)) & _MASK | 1) for i in range(64)]
 _CACHE_WORDS = 150_000
+_CACHE_TEXTS = 20_000
 
 
 def layout(per_cent: int) -> tuple[int, int]:
@@ -114,9 +120,9 @@ def sketches(sets: list[np.ndarray]) -> np.ndarray:
     step = 0
     while len(seed):
         r = mix(seed + np.uint64((0xD1342543DE82EF95 * (step + 1)) & _MASK))
-        at = at - np.log1p(-((r >> np.uint64(11)).astype(np.float64) * 2.0**-53)) / m
-        where = ((mix(r ^ np.uint64(0xA0761D6478BD642F)) >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
-        np.minimum.at(first, owner * m + where.astype(np.int64), at)
+        at = at - np.log1p((r >> np.uint64(24)).astype(np.float64) * -(2.0**-40)) / m  # 40 bits say when, 24 where
+        where = ((r & np.uint64(0xFFFFFF)) * np.uint64(m)) >> np.uint64(24)
+        np.minimum.at(first, owner * m + where.view(np.int64), at)
         step += 1
         if step < 8 or step % 8 == 0:
             keep = at < first.reshape(n, m).max(axis=1)[owner]
@@ -169,24 +175,83 @@ def likely_similarity(one: np.ndarray, size: int, others: np.ndarray, sizes: np.
     return np.take_along_axis(j, score.argmax(axis=1)[:, None], axis=1)[:, 0]
 
 
-def _sets(per_cent: int):
-    """Per document: the set's 128-bit digest as two longs, its size, its band keys."""
+def _facts(texts: list[str]) -> list[tuple[int, int, int, bytes | None]]:
+    """Each text's set: its 128-bit digest as two integers, its size, its registers."""
+    sets = [shingles(t) for t in texts]
+    registers = [r for part in batches_of(sets) for r in sketches(part)]
+    return [(int(mix(s).sum(dtype=np.uint64)), int(mix(s * _ODD[7]).sum(dtype=np.uint64)), len(s), r.tobytes()) if len(s) else (0, 0, 0, None) for s, r in zip(sets, registers)]
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per row: the set's 128-bit digest as two longs, its size, its registers; a text is worked on once a task."""
+    import xxhash
+
+    known: dict[bytes, tuple] = {}
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 128):
+            texts = batch.column(2)[lo : lo + 128].to_pylist()
+            keys = [xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")) for t in texts]
+            fresh = {k: t for k, t in zip(keys, texts) if k not in known}
+            found = dict(zip(fresh, _facts(list(fresh.values()))))
+            one, two, n, packed = zip(*(found.get(k) or known[k] for k in keys))
+            if len(known) > _CACHE_TEXTS:
+                known.clear()
+            known |= found
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(i)[lo : lo + 128] for i in range(2)), *(pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (one, two)), pa.array(n, pa.int64()), pa.array(packed, pa.binary())],
+                names=["__nd_doc", "__nd_text", "__nd_a", "__nd_b", "__nd_n", "__nd_sketch"],
+            )
+
+
+def _stacked(sketch: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(sketch.to_pylist()), dtype=np.uint16).reshape(len(sketch), REGISTERS)
+
+
+def _band_rows(per_cent: int):
+    """(cid, sketch) to a row (key, cid) a band."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                keys = band_keys(_stacked(batch.column(1)), per_cent)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(np.asarray(batch.column(0)), keys.shape[1]))], names=["key", "cid"])
+
+    return run
+
+
+def _likely(per_cent: int):
+    """Of pairs (cid, hub, n, sketch, hub's n and sketch), those that the likelihood does not rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1024):
+                part = batch.slice(lo, 1024)
+                n, m = np.asarray(part.column(2)), np.asarray(part.column(4))
+                good = 100 * np.minimum(n, m) >= per_cent * np.maximum(n, m)
+                good &= likely_similarity(_stacked(part.column(5)), m, _stacked(part.column(3)), n) >= per_cent / 100 - SLACK
+                yield part.select([0, 1]).filter(pa.array(good))
+
+    return run
+
+
+def similar(a: np.ndarray, b: np.ndarray, per_cent: int) -> bool:
+    """The exact check, on full sets."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= per_cent * (len(a) + len(b) - both)
+
+
+def _verified(per_cent: int):
+    """Of pairs (cid, hub, text, hub's text), the links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, hub_set = None, None
         for batch in batches:
-            docs, texts = batch.column(0), batch.column(1)
-            for lo in range(0, batch.num_rows, 128):
-                sets = [shingles(t.as_py()) for t in texts[lo : lo + 128]]
-                keys = band_keys(np.concatenate([sketches(part) for part in batches_of(sets)]), per_cent)
-                one, two = np.zeros(len(sets), dtype=np.uint64), np.zeros(len(sets), dtype=np.uint64)
-                for i, s in enumerate(sets):
-                    if len(s):
-                        one[i], two[i] = mix(s).sum(dtype=np.uint64), mix(s * _ODD[7]).sum(dtype=np.uint64)
-                bands = [k.tolist() if len(s) else None for k, s in zip(keys, sets)]
-                yield pa.RecordBatch.from_arrays(
-                    [docs[lo : lo + 128], pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array([len(s) for s in sets], pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
-                    names=["__nd_doc", "__nd_a", "__nd_b", "__nd_n", "__nd_bands"],
-                )
+            good = []
+            for hub, text, hub_text in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+                if hub != last:
+                    last, hub_set = hub, shingles(hub_text.as_py())
+                good.append(similar(shingles(text.as_py()), hub_set, per_cent))
+            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_())).rename_columns(["u", "v"])
 
     return run
 
@@ -216,100 +281,171 @@ class _Union:
         return True
 
 
-def linked(ids: np.ndarray, texts: list[str], left: np.ndarray, right: np.ndarray, per_cent: int) -> list[tuple[int, int]]:
-    """Verified links of a spanning forest, of pairs left x right (masks)."""
-    order = np.argsort(ids, kind="stable")
-    ids, left, right = ids[order], left[order], right[order]
-    sets = [shingles(texts[i]) for i in order]
-    sizes = np.array([len(s) for s in sets])
-    registers = np.concatenate([sketches(part) for part in batches_of(sets)])
-    keys = band_keys(registers, per_cent)
-    known, out = _Union(len(ids)), []
-    least = per_cent / 100
-    for i in range(len(ids)):
-        js = np.arange(i + 1, len(ids))
-        js = js[(left[i] & right[js]) | (right[i] & left[js])]
-        js = js[(100 * np.minimum(sizes[i], sizes[js]) >= per_cent * np.maximum(sizes[i], sizes[js]))]
-        if len(js):
-            roots = known.roots()
-            js = js[roots[js] != roots[i]]
+class _Block:
+    """The pairs of one pair of blocks of a band, in the order of ids: those of
+    left x right, first met in this band, that labels do not connect yet."""
+
+    def __init__(self, group: pd.DataFrame, per_cent: int):
+        group = group.drop_duplicates("cid").sort_values("cid")
+        self.one, self.two, self.key = int(group["one"].iloc[0]), int(group["two"].iloc[0]), int(group["key"].iloc[0])
+        self.ids, self.sizes, self.labels = (group[c].to_numpy() for c in ("cid", "n", "label"))
+        self.left, self.right = (group["block"].to_numpy() == x for x in (self.one, self.two))
+        self.registers = np.frombuffer(b"".join(group["sketch"]), dtype=np.uint16).reshape(len(group), REGISTERS)
+        self.keys, self.per_cent, self.group = band_keys(self.registers, per_cent), per_cent, group
+
+    def partners(self, i: int, labels: np.ndarray) -> np.ndarray:
+        js = np.arange(i + 1, len(self.ids))
+        js = js[((self.left[i] & self.right[js]) | (self.right[i] & self.left[js])) & (labels[js] != labels[i])]
+        js = js[100 * np.minimum(self.sizes[i], self.sizes[js]) >= self.per_cent * np.maximum(self.sizes[i], self.sizes[js])]
         if len(js):
-            js = js[(keys[js] == keys[i]).any(axis=1)]
+            shared = self.keys[js] == self.keys[i]
+            js = js[shared.any(axis=1) & (self.keys[i][shared.argmax(axis=1)] == self.key)]
         if len(js):
-            js = js[likely_similarity(registers[i], sizes[i], registers[js], sizes[js]) >= least - SLACK]
-        for j in js.tolist():
-            if known.root(i) == known.root(j):
-                continue
-            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            if 100 * both >= per_cent * (len(sets[i]) + len(sets[j]) - both):
-                known.join(i, j)
-                out.append((int(ids[j]), int(ids[i])))
-    return out
-
-
-def _verify(per_cent: int):
+            js = js[likely_similarity(self.registers[i], self.sizes[i], self.registers[js], self.sizes[js]) >= self.per_cent / 100 - SLACK]
+        return js
+
+
+def _needed(per_cent: int):
+    """Which documents of a pair of blocks have a likely partner there."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        block = _Block(group, per_cent)
+        needed = np.zeros(len(block.ids), dtype=bool)
+        for i in range(len(block.ids)):
+            js = block.partners(i, block.labels)
+            needed[js] = True
+            needed[i] |= len(js) > 0
+        return block.group[needed][["key", "one", "two", "block", "cid", "n", "label", "sketch"]]
+
+    return run
+
+
+def _verify_blocks(per_cent: int):
+    """Links of a spanning forest over the labels of a pair of blocks."""
+
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        a, b = int(group["__nd_one"].iloc[0]), int(group["__nd_two"].iloc[0])
-        block = group["__nd_block"].to_numpy()
-        links = linked(group["__nd_doc"].to_numpy(), group["__nd_text"].tolist(), block == a, block == b, per_cent)
-        return pd.DataFrame(links, columns=["u", "v"], dtype="int64")
+        block, out = _Block(group, per_cent), []
+        names, labels = np.unique(block.labels, return_inverse=True)
+        known = _Union(len(names))
+        sets = [shingles(t) for t in block.group["text"]]
+        for i in range(len(sets)):
+            for j in block.partners(i, known.roots()[labels]).tolist():
+                if known.root(labels[i]) != known.root(labels[j]) and similar(sets[i], sets[j], per_cent):
+                    known.join(labels[i], labels[j])
+                    out.append((int(block.ids[j]), int(block.ids[i])))
+        return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
 
     return run
 
 
-def document_sets(docs: DataFrame, per_cent: int = PER_CENT) -> DataFrame:
-    """Written table ``__nd_doc, __nd_a, __nd_b, __nd_n, __nd_bands`` of all rows."""
+def document_sets(docs: DataFrame) -> DataFrame:
+    """Written table ``__nd_doc, __nd_text`` (hash of the text) ``, __nd_a, __nd_b, __nd_n, __nd_sketch`` of all rows."""
     require(docs, "doc_id", "text")
-    rows = docs.select(F.col("doc_id").cast("long"), text_of("text"))
-    return written(rows.mapInArrow(_sets(per_cent), "__nd_doc long, __nd_a long, __nd_b long, __nd_n long, __nd_bands array<long>"), "near-sets")
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text_of("text")), text_of("text"))
+    return written(rows.mapInArrow(_sets, "__nd_doc long, __nd_text long, __nd_a long, __nd_b long, __nd_n long, __nd_sketch binary"), "near-sets")
 
 
-def class_links(docs: DataFrame, sets: DataFrame, per_cent: int = PER_CENT) -> tuple[DataFrame, DataFrame]:
-    """Classes (set digest -> least ``doc_id``) and verified links between their representatives."""
+def classes_of(sets: DataFrame) -> DataFrame:
+    """Written table of the distinct sets: ``cid`` (a number of its own for each
+    digest), ``a, b, n, sketch``, the least document ``rep`` and its text's hash."""
     real = sets.filter((F.col("__nd_n") > 0) & F.col("__nd_doc").isNotNull())
-    classes = real.groupBy("__nd_a", "__nd_b").agg(F.min("__nd_doc").alias("__nd_rep"))
-    classes = written(classes, "near-classes")
-    reps = classes.select(F.col("__nd_rep").alias("rep"), F.col("__nd_a").alias("a"), F.col("__nd_b").alias("b"))
-    own = real.join(reps, (F.col("__nd_doc") == F.col("rep")) & (F.col("__nd_a") == F.col("a")) & (F.col("__nd_b") == F.col("b")))
-    keys = own.select("rep", F.explode("__nd_bands").alias("key")).distinct()
-    least = keys.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).filter("hub < last").select(F.col("key").alias("k"), "hub")
-    stars = keys.join(least, F.col("key") == F.col("k")).filter("rep > hub").select(F.col("rep").alias("u"), F.col("hub").alias("v")).distinct()
-    groups = components(written(stars, "near-stars"), "near-groups")
-    sizes = groups.groupBy("component").agg(F.count("*").alias("size"))
-    placed = groups.join(sizes, "component")
-    # which documents carry a class's text: its representative's row with that set
-    member = own.select("rep", "__nd_n", F.col("__nd_a").alias("a"), F.col("__nd_b").alias("b")).dropDuplicates(["rep", "a", "b"])
-    placed = placed.join(member, F.col("id") == F.col("rep"))
-    blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
-    placed = placed.withColumn("__nd_block", F.when(blocks == 1, 0).otherwise(F.pmod(F.xxhash64("id"), blocks)).cast("int")).withColumn("__nd_blocks", blocks)
-    placed = placed.select(F.col("id").alias("__nd_id"), "component", "__nd_block", "__nd_blocks")
-    texts = docs.select(F.col("doc_id").cast("long").alias("__nd_doc"), text_of("text").alias("__nd_text"))
-    loads = texts.join(placed.hint("shuffle_hash"), F.col("__nd_doc") == F.col("__nd_id"))
+    least = F.min(F.struct("__nd_doc", "__nd_text")).alias("least")
+    classes = real.groupBy(F.col("__nd_a").alias("a"), F.col("__nd_b").alias("b")).agg(F.first("__nd_n").alias("n"), F.first("__nd_sketch").alias("sketch"), least)
+    classes = classes.select(F.monotonically_increasing_id().alias("cid"), "a", "b", "n", "sketch", F.col("least.__nd_doc").alias("rep"), F.col("least.__nd_text").alias("hash"))
+    return written(classes, "near-classes")
+
+
+def _copied(rows: DataFrame, by: str, chunks: str) -> DataFrame:
+    """``rows`` once for each of the chunks that column counts, as ``chunk``."""
+    return rows.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col(chunks) - 1))).drop(chunks)
+
+
+def star_links(pairs: DataFrame, classes: DataFrame, texts: DataFrame, per_cent: int) -> DataFrame:
+    """Verified links of the pairs (cid, hub).
+
+    A hub with many partners is copied to chunks of them, so neither its
+    registers nor its text draw all partners into one task.
+    """
+    many = pairs.groupBy("hub").agg(F.ceil(F.count("*") / F.lit(STAR_CHUNK)).cast("int").alias("chunks"))
+    pairs = pairs.join(many, "hub").withColumn("chunk", F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int")).drop("chunks")
+    own = classes.select("cid", "n", "sketch")
+    hubs = _copied(many.join(own.withColumnRenamed("cid", "hub"), "hub"), "hub", "chunks").withColumnsRenamed({"n": "hub_n", "sketch": "hub_sketch"})
+    both = pairs.join(own, "cid").join(hubs, ["hub", "chunk"]).select("cid", "hub", "n", "sketch", "hub_n", "hub_sketch")
+    likely = written(both.mapInArrow(_likely(per_cent), "cid long, hub long"), "near-likely")
+    many = likely.groupBy("hub").agg(F.ceil(F.count("*") / F.lit(STAR_CHUNK)).cast("int").alias("chunks"))
+    pairs = likely.join(many, "hub").withColumn("chunk", F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int")).drop("chunks")
+    mine = pairs.join(classes.select("cid", "rep", "hash"), "cid")
+    mine = texts.join(mine.hint("shuffle_hash"), (F.col("__nd_doc") == F.col("rep")) & (F.col("__nd_hash") == F.col("hash"))).select("cid", "hub", "chunk", F.col("__nd_whole").alias("text"))
+    hubs = many.join(classes.select(F.col("cid").alias("hub"), "rep", "hash"), "hub")
+    hubs = texts.join(hubs.hint("shuffle_hash"), (F.col("__nd_doc") == F.col("rep")) & (F.col("__nd_hash") == F.col("hash"))).select("hub", "chunks", F.col("__nd_whole").alias("hub_text"))
+    both = mine.join(_copied(hubs, "hub", "chunks").hint("merge"), ["hub", "chunk"]).select("cid", "hub", "text", "hub_text")
+    return both.mapInArrow(_verified(per_cent), "u long, v long")
+
+
+def block_links(rest: DataFrame, classes: DataFrame, texts: DataFrame, per_cent: int) -> DataFrame:
+    """Verified links inside bands (key, cid, label), pair of blocks by pair of blocks.
+
+    Registers alone go to the pairs of blocks; texts follow for the documents
+    that have a likely, not yet connected partner there.
+    """
+    sizes = rest.groupBy("key").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    placed = rest.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     # a document of block k takes part in every pair of blocks that holds k
-    mates = F.transform(F.sequence(F.lit(0), F.col("__nd_blocks") - 1), lambda x: F.struct(F.least(x, F.col("__nd_block")).alias("a"), F.greatest(x, F.col("__nd_block")).alias("b")))
-    loads = loads.select("component", "__nd_block", "__nd_doc", "__nd_text", F.explode(mates).alias("p"))
-    loads = loads.select("component", "__nd_block", "__nd_doc", "__nd_text", F.col("p.a").alias("__nd_one"), F.col("p.b").alias("__nd_two"))
-    links = loads.groupBy("component", "__nd_one", "__nd_two").applyInPandas(_verify(per_cent), "u long, v long")
-    return classes, written(links, "near-links")
+    mates = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("block")).alias("one"), F.greatest(x, F.col("block")).alias("two")))
+    placed = placed.join(classes.select("cid", "n", "sketch"), "cid").select("key", "block", "cid", "label", "n", "sketch", F.explode(mates).alias("p"))
+    placed = placed.select("key", "p.one", "p.two", "block", "cid", "n", "label", "sketch")
+    pair = ["key", "one", "two"]
+    needed = written(placed.groupBy(*pair).applyInPandas(_needed(per_cent), placed.schema), "near-needed").join(classes.select("cid", "rep", "hash"), "cid")
+    loads = texts.join(needed.hint("shuffle_hash"), (F.col("__nd_doc") == F.col("rep")) & (F.col("__nd_hash") == F.col("hash")))
+    loads = loads.select(*pair, "block", "cid", "n", "label", "sketch", F.col("__nd_whole").alias("text"))
+    return loads.groupBy(*pair).applyInPandas(_verify_blocks(per_cent), "u long, v long")
+
+
+def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """``rows`` with the ``label`` of their ``cid``: its component, or itself."""
+    return rows.join(labels.withColumnRenamed("id", "cid"), "cid", "left").withColumn("label", F.coalesce("component", "cid")).drop("component")
+
+
+def class_labels(docs: DataFrame, classes: DataFrame, per_cent: int = PER_CENT) -> DataFrame:
+    """``id, component`` of the classes that are linked with others."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("__nd_doc"), F.xxhash64(text_of("text")).alias("__nd_hash"), text_of("text").alias("__nd_whole"))
+    keys = classes.select("cid", "sketch").mapInArrow(_band_rows(per_cent), "key long, cid long")
+    hubs = keys.groupBy("key").agg(F.min("cid").alias("hub"), F.max("cid").alias("last")).filter("hub < last").drop("last")
+    bands = written(keys.join(hubs, "key").filter("cid > hub"), "near-bands")
+    links = written(star_links(bands.select("cid", "hub").distinct(), classes, texts, per_cent), "near-stars")
+    labels = components(links, "near-groups")
+    # bands whose other members are not all connected yet
+    rest = labelled(bands.select("key", "cid"), labels)
+    split = rest.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
+    rest = written(rest.join(split, "key").select("key", "cid", "label"), "near-rest")
+    if rest.isEmpty():
+        return labels
+    more = written(block_links(rest, classes, texts, per_cent), "near-links")
+    if more.isEmpty():
+        return labels
+    return components(links.unionByName(more), "near-components")
+
+
+def _judged(docs: DataFrame, per_cent: int) -> DataFrame:
+    """A row for each of ``docs``: ``__nd_doc, __nd_text, __nd_n, component_id, kept``."""
+    sets = document_sets(docs)
+    classes = classes_of(sets)
+    named = labelled(classes.select("cid", "a", "b", "rep"), class_labels(docs, classes, per_cent))
+    least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
+    named = named.join(least, "label").select("a", "b", "component_id")
+    rows = sets.drop("__nd_sketch")
+    found = rows.join(named, (F.col("__nd_a") == F.col("a")) & (F.col("__nd_b") == F.col("b")) & (F.col("__nd_n") > 0), "left")
+    found = found.withColumn("component_id", F.when(F.col("__nd_doc").isNotNull(), F.coalesce("component_id", "__nd_doc")))
+    return found.withColumn("kept", F.coalesce(F.col("__nd_doc") == F.col("component_id"), F.lit(True)))
 
 
 def near_duplicates(docs: DataFrame, per_cent: int = PER_CENT) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_shingles, component_id, kept``."""
-    sets = document_sets(docs, per_cent)
-    classes, links = class_links(docs, sets, per_cent)
-    labels = components(links, "near-components")
-    named = classes.join(labels, F.col("__nd_rep") == F.col("id"), "left").select(
-        F.col("__nd_a").alias("a"), F.col("__nd_b").alias("b"), F.coalesce("component", "__nd_rep").alias("label")
-    )
-    rows = sets.select("__nd_doc", "__nd_n", "__nd_a", "__nd_b")
-    found = rows.join(named, (F.col("__nd_a") == F.col("a")) & (F.col("__nd_b") == F.col("b")) & (F.col("__nd_n") > 0), "left")
-    label = F.when(F.col("__nd_doc").isNotNull(), F.coalesce("label", "__nd_doc"))
-    return found.select(F.col("__nd_doc").alias("doc_id"), F.col("__nd_n").alias("n_shingles"), label.alias("component_id")).withColumn(
-        "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
-    )
+    return _judged(docs, per_cent).select(F.col("__nd_doc").alias("doc_id"), F.col("__nd_n").alias("n_shingles"), "component_id", "kept")
 
 
 def keep_one(docs: DataFrame, per_cent: int = PER_CENT) -> DataFrame:
-    """``docs`` without the documents whose component has a smaller ``doc_id``."""
-    gone = near_duplicates(docs, per_cent).filter(~F.col("kept")).select(F.col("doc_id").alias("__nd_gone")).distinct()
-    return docs.join(gone.hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col("__nd_gone"), "left_anti")
+    """``docs`` without the rows whose component has a smaller ``doc_id``; of rows
+    that repeat a ``doc_id``, each is judged by its own text."""
+    gone = _judged(docs, per_cent).filter(~F.col("kept")).select("__nd_doc", "__nd_text").distinct()
+    return docs.join(gone.hint("shuffle_hash"), (F.col("doc_id").cast("long") == F.col("__nd_doc")) & (F.xxhash64(text_of("text")) == F.col("__nd_text")), "left_anti")

@@ -71,3 +71,43 @@ def test_packing_with_few_open_windows(most):
         fill[window] += length
     assert pieces == Counter(dict(enumerate(sizes))) and all(n == 64 or n & (n - 1) == 0 for n in fill.values())
     assert sum(n < 64 for n in fill.values()) <= 6  # the last window's powers of two alone
+
+
+# --- 3: near dedup
+
+
+def test_near_dedup_of_repeated_ids(spark):
+    from rxlink.llm import near_dedup
+    from tests.llm.test_operators import near_by_hand, near_group
+
+    a, other = near_group(1, 41)[0], "nothing like the others at all , really nothing"
+    near = f"{a} tail"
+    rows = [(5, a), (5, other), (3, near), (3, None), (5, a), (7, ""), (None, a), (9, other + " x y"), (4, near_group(1, 42)[0]), (2, near_group(1, 42)[0])]
+    df = spark.createDataFrame(rows, DOCS)
+    assert Counter(tuple(r) for r in near_dedup.near_duplicates(df).collect()) == near_by_hand(rows)
+    kept = Counter(tuple(r) for r in near_dedup.keep_one(df).collect())
+    assert (5, other) in kept and (5, a) not in kept and (3, near) in kept
+    assert sum(kept.values()) == sum(v for k, v in near_by_hand(rows).items() if k[3] or k[0] is None)
+
+
+def test_components_of_chains_and_stars(spark, monkeypatch):
+    from rxlink.llm import graph
+
+    rng = random.Random(4)
+    links = [(i, i + 1) for i in range(400)] + [(1000, 1000 + i) for i in range(1, 50)] + [(2050, 2000 + i) for i in range(50)] + [(rng.randrange(3000, 3300), rng.randrange(3000, 3300)) for _ in range(150)]
+    up = {}
+
+    def root(i):
+        while up.setdefault(i, i) != i:
+            i = up[i]
+        return i
+
+    for u, v in links:
+        a, b = root(u), root(v)
+        up[max(a, b)] = min(a, b)
+    want = {i: root(i) for i in {x for p in links if p[0] != p[1] for x in p}}
+    rounds = []
+    monkeypatch.setattr(graph, "written", lambda df, name, w=graph.written: rounds.append(name) or w(df, name))
+    got = dict(tuple(r) for r in graph.components(spark.createDataFrame(links, "u long, v long"), "test").collect())
+    assert got == want
+    assert sum(n.endswith("-left") for n in rounds) <= 10
