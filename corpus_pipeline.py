@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from rxlink.llm import decontam, line_dedup, near_dedup, packing, toxicity
 from rxlink.llm.common import written
-from rxlink.llm.queries import BYTE_MODEL, tokenizer_file
+from rxlink.llm.queries import BYTE_MODEL, table, tokenizer_file
 
 #: Least shingle similarity, in per cent, of the near duplicates that go.
 NEAR_PER_CENT = 80
@@ -63,7 +63,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over ``documents``, each one's rows written before the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -25,50 +25,56 @@ def tokenizer_file(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """The table's columns (all if none is named). A table that comes in fewer
+    pieces than there are cores, as a file of one row group, is dealt to all of
+    them; larger ones are read as they lie, without a shuffle."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = df.select(*columns) if columns else df
+    cores = spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents", "doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels")
+    docs, labels = table(spark, sf_dir, "documents", "doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     out = toxicity.score(docs, toxicity.fit(docs, labels))
     score = F.col("__tx_score")
     return out.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), score.alias("score"), (score >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = warc.round_trip(spark, _table(spark, sf_dir, "pages"))
+    out = warc.round_trip(spark, table(spark, sf_dir, "pages", "page_id", "url", "html"))
     return out.filter("gap_start IS NULL").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = secrets_scan.scan_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = secrets_scan.scan_secrets(table(spark, sf_dir, "documents", "doc_id", "text"))
     base = F.col("__ss_base")
     counts = [secrets_scan.counted(base, i).alias(f"n_{k}") for i, k in enumerate(secrets_scan.KINDS[:3])]
     return out.select("doc_id", *counts, F.sha2(secrets_scan.spelled(base), 256).alias("base_sha256"), secrets_scan.spelled(F.col("__ss_spans")).alias("spans"))
 
 
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = license_scan.scan_licenses(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = license_scan.scan_licenses(table(spark, sf_dir, "documents", "doc_id", "text"))
     best = F.col("__ls_best")
     return out.select("doc_id", best["license"].alias("license"), F.round(F.coalesce(best["dice"], F.lit(0.0)), 6).alias("dice"), F.coalesce(best["unit"], F.lit(-1)).cast("long").alias("unit"))
 
 
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embed_dedup.near_vectors(_table(spark, sf_dir, "embeddings"))
+    return embed_dedup.near_vectors(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = decontam.scan_benchmark(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
+    out = decontam.scan_benchmark(table(spark, sf_dir, "documents", "doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     items = F.col("__bd_items")
     return out.select(
         "doc_id", F.col("__bd_words").alias("n_words"), F.col("__bd_hit").alias("n_hit"), F.size(items).cast("long").alias("n_items"),
@@ -77,13 +83,13 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = tokens.count_tokens(_table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_file(PIECE_MODEL))
+    out = tokens.count_tokens(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_file(PIECE_MODEL))
     n = F.col("__tc_tokens")
     return out.select("doc_id", F.col("__tc_bytes").alias("n_bytes"), n.alias("n_tokens"), (n > TOKEN_LIMIT).alias("over_limit"))
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_file(BYTE_MODEL))
+    return packing.pack_documents(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_file(BYTE_MODEL))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
