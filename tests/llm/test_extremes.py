@@ -111,3 +111,44 @@ def test_components_of_chains_and_stars(spark, monkeypatch):
     got = dict(tuple(r) for r in graph.components(spark.createDataFrame(links, "u long, v long"), "test").collect())
     assert got == want
     assert sum(n.endswith("-left") for n in rounds) <= 10
+
+
+# --- 7: embeddings
+
+
+def test_embeddings_over_many_cells_and_chunks(spark, monkeypatch):
+    import numpy as np
+
+    from rxlink.llm import embed_dedup
+
+    monkeypatch.setattr(embed_dedup, "CELL", 20)
+    monkeypatch.setattr(embed_dedup, "CHUNK_VALUES", 1)  # chunks of 64 homes and 256 probes
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(500, 40))
+    v = np.concatenate([base, base[:200] + rng.normal(size=(200, 40)) * 0.2, base[0] + rng.normal(size=(400, 40)) * 0.18, base[:50] * 3])
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    link = unit @ unit.T >= 0.95
+    np.fill_diagonal(link, False)
+    label = np.arange(len(v))
+    while True:
+        new = np.minimum(label, np.where(link, label[None, :], len(v)).min(axis=1))
+        if (new == label).all():
+            break
+        label = new
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embed_dedup.near_vectors(df).collect()}
+    assert got == {i: (int(link[i].sum()), int(label[i])) for i in range(len(v))}
+
+
+def test_cells_reached_hold_all_near_vectors():
+    import numpy as np
+
+    from rxlink.llm import embed_dedup
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(1500, 16)) / 8
+    home, mask = embed_dedup.reached(x, x[:60], 0.3)
+    near = ((x[:, None] - x[None]) ** 2).sum(axis=2) <= 0.09
+    for i, j in zip(*np.nonzero(near)):
+        assert mask[i, home[j]] or mask[j, home[i]]
+    assert mask.mean() < 0.5
