@@ -5,13 +5,14 @@ from labelled rows (whole words and word stems, picked by greedy covering of
 the toxic rows), how near hits stand to second-person words, capitals,
 punctuation, and obfuscation (letters mixed with digits or symbols, drawn-out
 letters, hits only seen after undoing both). Trees are fitted to the logistic
-loss on histogram bins; a fold of the rows that the trees and the lexicon did
-not see calibrates their output by isotonic regression; with fewer than 20 rows
-of either class in that fold the output stays the trees' own sigmoid.
+loss on histogram bins. Isotonic regression calibrates their output: for each
+of the four learning folds a lexicon and trees are learnt from the other three,
+and their outputs on the fold, pooled over the folds, are what it is fitted to;
+the scores come from a lexicon and trees learnt from all four.
 
 The model is fitted on at most ``MAX_ROWS`` labelled rows, the first in the
-order of a hash of their id; scoring reads every whole text once, without a
-shuffle.
+order of a hash of their id; the words that these rows hold bound the lexicon.
+Scoring reads every whole text once, without a shuffle.
 
 Defined results
     null or empty text: scored from all-zero features. Labels that are null
@@ -27,7 +28,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -39,9 +39,8 @@ from pyspark.sql import functions as F
 from rxlink.llm.common import ddl, require, text_of, written
 
 MAX_ROWS = 20_000
-MAX_CANDIDATES = 4_000
-MAX_ENTRIES = 200
 FOLDS = 5
+LEARNING = (1, 2, 3, 4)
 THRESHOLD = 0.5
 
 INSULTS = frozenset(
@@ -144,10 +143,13 @@ class Trees:
         return np.stack([np.searchsorted(c, x[:, i], side="right") for i, c in enumerate(self.cuts)], axis=1)
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Trees:
-        self.cuts = [np.unique(np.quantile(c[c != c.min()], np.linspace(0, 1, self.bins - 1))) if (c != c.min()).any() else np.array([np.inf]) for c in x.T]
-        b = self.binned(x)
+        """Without both classes in ``y`` there are no trees, only the base."""
         share = (y.sum() + 0.5) / (len(y) + 1)
         self.base = math.log(share / (1 - share))
+        if len(set(y.tolist())) < 2:
+            return self
+        self.cuts = [np.unique(np.quantile(c[c != c.min()], np.linspace(0, 1, self.bins - 1))) if (c != c.min()).any() else np.array([np.inf]) for c in x.T]
+        b = self.binned(x)
         raw = np.full(len(y), self.base)
         width = self.bins + 1
         for _ in range(self.rounds):
@@ -180,6 +182,8 @@ class Trees:
 
     def raw(self, x: np.ndarray) -> np.ndarray:
         out = np.full(len(x), self.base)
+        if not self.trees:
+            return out
         b, rows = self.binned(x), np.arange(len(x))
         for feature, cut, leaf in self.trees:
             at = np.zeros(len(x), dtype=int)
@@ -208,70 +212,92 @@ class Model:
     knots: tuple[np.ndarray, np.ndarray] | None = None
 
     def scores(self, x: np.ndarray) -> np.ndarray:
-        if self.trees is None:
-            return np.full(len(x), self.share)
-        raw = self.trees.raw(x)
-        return 1 / (1 + np.exp(-raw)) if self.knots is None else np.interp(raw, *self.knots)
+        return np.full(len(x), self.share) if self.trees is None else np.interp(self.trees.raw(x), *self.knots)
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
+def entries_in(text: str) -> set[str]:
+    return {e for w in {plain(x) for x in text.split()} for e in entries_of(w)}
+
+
 def _entry_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        toxic, out = batch.column(0).to_pylist(), ([], [])
-        for t, text in zip(toxic, batch.column(1)):
-            found = {e for w in {plain(x) for x in text.as_py().split()} for e in entries_of(w)}
+        out: tuple[list, list, list] = ([], [], [])
+        for fold, toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            found = entries_in(text.as_py())
             out[0].extend(found)
-            out[1].extend([t] * len(found))
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int64())], names=["entry", "toxic"])
+            out[1].extend([fold] * len(found))
+            out[2].extend([toxic] * len(found))
+        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64())], names=["entry", "fold", "toxic"])
 
 
 def _covered(candidates: frozenset[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [sorted({e for w in {plain(x) for x in t.as_py().split()} for e in entries_of(w)} & candidates) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.string()))], names=["entries"])
+            rows = [sorted(entries_in(t.as_py()) & candidates) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.string()))], names=["fold", "entries"])
 
     return run
 
 
-def learn_entries(rows: DataFrame) -> frozenset[str]:
-    """rows: toxic (long), text. Entries that greedily cover the toxic rows."""
-    counts = rows.select("toxic", "text").mapInArrow(_entry_rows, "entry string, toxic long").groupBy("entry").agg(F.sum("toxic").alias("bad"), F.count("*").alias("all"))
-    good = counts.filter((F.col("bad") >= 3) & (F.col("bad") >= 0.8 * F.col("all"))).orderBy(F.desc("bad"), F.length("entry"), "entry").limit(MAX_CANDIDATES).collect()
-    bad = {r.entry: (r.bad, r["all"] - r.bad) for r in good}
-    toxic = rows.filter("toxic = 1").select("text").mapInArrow(_covered(frozenset(bad)), "entries array<string>").collect()
-    left = [set(r.entries) for r in toxic]
-    least = max(3, round(0.004 * len(left)))
-    picked: list[str] = []
-    while left and len(picked) < MAX_ENTRIES:
-        gain = Counter(e for x in left for e in x)
-        best = max(gain, key=lambda e: (gain[e] - 3 * bad[e][1], -len(e), e), default=None)
-        if best is None or gain[best] - 3 * bad[best][1] < least:
+def cover(rows: list[list[str]], harm: dict[str, int]) -> frozenset[str]:
+    """Entries that greedily cover the rows (each a list of entries), three rows
+    being worth one of another label that the entry is in (``harm``)."""
+    least = max(3, round(0.004 * len(rows)))
+    held: dict[str, list[int]] = {}
+    for i, row in enumerate(rows):
+        for e in row:
+            if e in harm:
+                held.setdefault(e, []).append(i)
+    gain = {e: len(x) for e, x in held.items()}
+    left, picked = set(range(len(rows))), []
+    while gain:
+        best = max(gain, key=lambda e: (gain[e] - 3 * harm[e], -len(e), e))
+        if gain[best] - 3 * harm[best] < least:
             break
         picked.append(best)
-        left = [x for x in left if best not in x]
+        for i in left.intersection(held[best]):
+            left.remove(i)
+            for e in rows[i]:
+                if e in gain:
+                    gain[e] -= 1
     return frozenset(picked)
 
 
+def learn_entries(rows: DataFrame, sets: list[tuple[int, ...]]) -> list[frozenset[str]]:
+    """rows: fold, toxic (long), text. The lexicon of each set of folds."""
+    sums = [F.sum(F.when(F.col("fold") == f, value).otherwise(0)).alias(f"{name}{f}") for f in LEARNING for name, value in (("bad", F.col("toxic")), ("all", F.lit(1)))]
+    counts = rows.select("fold", "toxic", "text").mapInArrow(_entry_rows, "entry string, fold long, toxic long").groupBy("entry").agg(*sums)
+    total = lambda name, folds: sum((F.col(f"{name}{f}") for f in folds), F.lit(0))
+    fits = [(total("bad", s) >= 3) & (total("bad", s) >= 0.8 * total("all", s)) for s in sets]
+    wanted = counts.select("entry", *(F.when(ok, total("all", s) - total("bad", s)).alias(f"harm{i}") for i, (s, ok) in enumerate(zip(sets, fits))))
+    found = wanted.filter(F.coalesce(*(F.col(f"harm{i}") for i in range(len(sets)))).isNotNull()).collect()  # words of at most MAX_ROWS rows
+    harms = [{r.entry: r[f"harm{i}"] for r in found if r[f"harm{i}"] is not None} for i in range(len(sets))]
+    toxic = rows.filter("toxic = 1").select("fold", "text").mapInArrow(_covered(frozenset(r.entry for r in found)), "fold long, entries array<string>").collect()
+    return [cover([r.entries for r in toxic if r.fold in s], harm) for s, harm in zip(sets, harms)]
+
+
 _flags: dict[frozenset[str], Flags] = {}
 
 
 def _flags_of(learnt: frozenset[str]) -> Flags:
     if learnt not in _flags:
-        _flags.clear()
+        if len(_flags) > len(LEARNING):
+            _flags.clear()
         _flags[learnt] = Flags(learnt)
     return _flags[learnt]
 
 
-def _feature_rows(learnt: frozenset[str]):
+def _feature_rows(lexicons: list[frozenset[str]]):
+    """The features by each lexicon, packed."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = _flags_of(learnt)
         for batch in batches:
-            rows = [features(t.as_py(), flags).tolist() for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.list_(pa.float64()))], names=["fold", "toxic", "x"])
+            rows = [np.concatenate([features(t.as_py(), _flags_of(x)) for x in lexicons]).tobytes() for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], names=["fold", "toxic", "x"])
 
     return run
 
@@ -287,18 +313,19 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     texts = docs.select(F.col("doc_id").cast("long").alias("__tx_doc"), text_of("text").alias("text"))
     rows = texts.join(F.broadcast(known), F.col("__tx_doc") == F.col("__tx_id")).select(fold.alias("fold"), "toxic", "text")
     rows = written(rows, "labelled")
-    learnt = learn_entries(rows.filter("fold > 1"))
-    got = rows.mapInArrow(_feature_rows(learnt), "fold long, toxic long, x array<double>").collect()
-    x, y, folds = np.array([r.x for r in got]).reshape(-1, len(FEATURES)), np.array([r.toxic for r in got], dtype=float), np.array([r.fold for r in got])
-    order = np.lexsort([*x.T, y, folds])  # the same model whatever order the rows come in
+    sets = [tuple(g for g in LEARNING if g != f) for f in LEARNING] + [LEARNING]
+    lexicons = learn_entries(rows, sets)
+    got = rows.mapInArrow(_feature_rows(lexicons), "fold long, toxic long, x binary").collect()
+    x, y, folds = np.frombuffer(b"".join(r.x for r in got)).reshape(-1, len(sets), len(FEATURES)), np.array([r.toxic for r in got], dtype=float), np.array([r.fold for r in got])
+    order = np.lexsort([*x[:, -1].T, y, folds])  # the same model whatever order the rows come in
     x, y, folds = x[order], y[order], folds[order]
-    model = Model(learnt, float(y.mean()) if len(y) else 0.0)
-    own = folds > 1
-    if len(set(y[own])) < 2:
+    model = Model(lexicons[-1], float(y.mean()) if len(y) else 0.0)
+    if len(set(y.tolist())) < 2:
         return model
-    model.trees = Trees().fit(x[own], y[own])
-    if len(set(y[~own])) == 2 and min(y[~own].sum(), (1 - y[~own]).sum()) >= 20:
-        model.knots = isotonic(model.trees.raw(x[~own]), y[~own])
+    apart = np.zeros(len(y))
+    for i, f in enumerate(LEARNING):
+        apart[folds == f] = Trees().fit(x[folds != f, i], y[folds != f]).raw(x[folds == f, i])
+    model.trees, model.knots = Trees().fit(x[:, -1], y), isotonic(apart, y)
     return model
 
 

@@ -152,3 +152,104 @@ def test_cells_reached_hold_all_near_vectors():
     for i, j in zip(*np.nonzero(near)):
         assert mask[i, home[j]] or mask[j, home[i]]
     assert mask.mean() < 0.5
+
+
+# --- 2: toxicity
+
+
+def features_by_hand(text, learnt):
+    import math
+    import re
+
+    from rxlink.llm import toxicity as t
+
+    tokens = text.split()
+    if not tokens:
+        return dict.fromkeys(t.FEATURES, 0.0)
+    known = lambda w: (w in t.INSULTS, f"={w}" in learnt and len(w) >= 3 or any(len(w) >= n and f"{w[:n]}*" in learnt for n in (4, 5, 6)))
+    fixed, learnt_hits, undone_hits, second, capitals, mixed_n, drawn_n, hits = 0, 0, 0, [], 0, 0, 0, []
+    for i, token in enumerate(tokens):
+        core = token.strip(t._EDGE)
+        word = core.lower()
+        a, b = known(word)
+        mixed = any(c.isalpha() for c in core) and any(c.isdigit() or c in "@$!*#%_|+" for c in core)
+        drawn = any(x == y == z and (x.isalnum() or x == "_") for x, y, z in zip(core, core[1:], core[2:]))
+        if not (a or b) and (mixed or drawn):
+            swapped = "".join("oieastasiit"["013457@$!|+".index(c)] if c in "013457@$!|+" else c for c in token.lower())
+            bare = "".join(c for c in swapped if c.isalnum())
+            a, b = known(re.sub(r"(.)\1{2,}", r"\1", bare))
+            undone_hits += a or b
+        fixed, learnt_hits = fixed + a, learnt_hits + b
+        hits += [i] if a or b else []
+        second += [i] if word in t.SECOND else []
+        capitals += len(core) > 1 and core.isupper()
+        mixed_n, drawn_n = mixed_n + mixed, drawn_n + drawn
+    n, size = len(tokens), len(text)
+    gaps = [min(abs(h - s) for s in second) for h in hits] if second else []
+    upper, lower = sum("A" <= c <= "Z" for c in text), sum("a" <= c <= "z" for c in text)
+    marks = sum("!" <= c <= "~" and not (c.isascii() and c.isalnum()) for c in text)
+    return {
+        "fixed_density": fixed / n, "fixed_count": math.log1p(fixed), "learnt_density": learnt_hits / n, "learnt_count": math.log1p(learnt_hits), "hit_density": len(hits) / n, "obfuscated_hits": undone_hits,
+        "second_density": len(second) / n, "second_nearness": 1 / (1 + min(gaps)) if gaps else 0, "second_share": sum(g <= 5 for g in gaps) / len(gaps) if gaps else 0, "capital_rate": upper / max(1, upper + lower),
+        "capital_words": capitals / n, "exclamation_rate": text.count("!") / size, "question_rate": text.count("?") / size, "punctuation_rate": marks / size, "digit_rate": sum("0" <= c <= "9" for c in text) / size,
+        "mixed_rate": mixed_n / n, "drawn_out_rate": drawn_n / n, "log_tokens": math.log1p(n), "token_length": size / n,
+    }
+
+
+def test_toxicity_features():
+    from rxlink.llm import toxicity as t
+    from tests.llm.test_operators import table
+
+    learnt = frozenset({"=word", "stem*", "longer*"})
+    texts = ["", "  ", "You are an 1d10t, YOU st*pid!! fooool?", "word words stemming longerish WORD's you", "a " * 8 + "you " + "b " * 5 + "idiot", "«Idiot» ... b4d w0rd xXx aaa 100%", *(r["text"] for r in table("documents")[:300] if r["text"])]
+    for text in texts:
+        got = dict(zip(t.FEATURES, t.features(text, t.Flags(learnt))))
+        assert got == pytest.approx(features_by_hand(text, learnt), abs=1e-12), text[:80]
+
+
+def test_toxicity_trees_take_the_best_cuts():
+    import numpy as np
+
+    from rxlink.llm.toxicity import Trees
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(200, 3))
+    y = (x[:, 1] + 0.3 * rng.normal(size=200) > 0.2).astype(float)
+    t = Trees(depth=2, rounds=3, bins=16).fit(x, y)
+    raw = np.full(200, t.base)
+    for feature, cut, leaf in t.trees:
+        p = 1 / (1 + np.exp(-raw))
+        g, h = p - y, p * (1 - p)
+        b = np.stack([(x[:, [i]] >= c[None, :]).sum(axis=1) for i, c in enumerate(t.cuts)], axis=1)
+
+        def gain(rows, i, k):
+            sides = [rows & (b[:, i] <= k), rows & (b[:, i] > k)]
+            if min(s.sum() for s in sides) < t.least:  # noqa: B023
+                return 0.0
+            return sum(g[s].sum() ** 2 / (h[s].sum() + t.l2) for s in sides) - g[rows].sum() ** 2 / (h[rows].sum() + t.l2)  # noqa: B023
+
+        at = np.zeros(200, dtype=int)
+        for _ in range(2):
+            for node in set(at.tolist()):
+                rows = at == node
+                best = max(gain(rows, i, k) for i in range(3) for k in range(17))
+                own = gain(rows, feature[node], cut[node])
+                assert own == pytest.approx(best, abs=1e-9) or best < 1e-8
+            at = 2 * at + 1 + (b[np.arange(200), feature[at]] > cut[at])
+        for node in set(at.tolist()):
+            rows = at == node
+            assert leaf[node - 3] == pytest.approx(-t.rate * g[rows].sum() / (h[rows].sum() + t.l2))
+        raw += leaf[at - 3]
+    assert t.raw(x) == pytest.approx(raw)
+
+
+def test_toxicity_on_held_out_rows(spark):
+    import pyarrow.dataset as ds
+
+    from rxlink.llm.queries import QUERIES
+
+    sf = "/root/testdata/sf0.1"
+    labels = dict(zip(*(ds.dataset(f"{sf}/labels.parquet").to_table()[c].to_pylist() for c in ("doc_id", "toxic"))))
+    got = [(r.predicted, labels[r.doc_id]) for r in QUERIES["op2_toxicity"](spark, sf).collect() if r.held_out and labels.get(r.doc_id) is not None]
+    toxic, clean = [p for p, t in got if t == 1], [p for p, t in got if t == 0]
+    assert sum(toxic) / len(toxic) >= 0.7 and sum(clean) / len(clean) <= 0.02
