@@ -6,7 +6,13 @@ the archive is whole, so a repeated task overwrites its own file. Among equal
 payloads the one with the largest id is the ``response``, the others are
 ``revisit`` records that name it.
 
-Reading: archives are streamed, a few members in memory at a time. A member
+A payload that very many rows share travels with its response alone: its
+revisits drop the body before any shuffle.
+
+Reading: archives are streamed, a few members in memory at a time. What a
+record may hold is bounded by its own header: a plain record must end in its
+closing line breaks where its length says (looked up there before anything is
+buffered), and a gzip member must not inflate beyond its record. A member
 that fails its checks (gzip header, CRC, record header, length, digests) is
 not the end of the archive: the reader goes on to the next place where a gzip
 member or, in plain archives, a version line starts and parses, recovers the
@@ -38,9 +44,11 @@ from rxlink.llm.common import require, scratch_path, text_of, written
 VERSION = b"WARC/1.1"
 DATE = "2024-01-01T00:00:00Z"
 ARCHIVE_BYTES = 64_000_000
-MAX_HEADER = 65_536
 MAX_READERS = 10_000
+#: A payload of this many copies is frequent, or of so many that at most FREQUENT payloads are: their keys are broadcast.
+COPIES, FREQUENT = 10_000, 50_000
 _STEP = 1 << 20
+_PIECE = 1 << 14
 
 RECORDS = "archive string, offset long, page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary, gap_start long, gap_end long, reason string"
 _SCHEMA = pa.schema([
@@ -57,16 +65,17 @@ def sha1_base32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def render(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool) -> bytes:
-    """One record, not compressed."""
-    digest, body = sha1_base32(payload), b"" if revisit else payload
+def render(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool, known: tuple[str, int] | None = None) -> bytes:
+    """One record, not compressed; known: the payload's digest and length, where it is a revisit whose payload is not at hand."""
+    digest, whole = known or (sha1_base32(payload), len(payload))
+    body = b"" if revisit else payload
     head = [
         ("WARC-Type", "revisit" if revisit else "response"),
         ("WARC-Record-ID", f"<urn:page:{'' if page_id is None else page_id}>"),
         ("WARC-Date", DATE),
         ("WARC-Payload-Digest", f"sha1:{digest}"),
         ("WARC-Block-Digest", f"sha1:{digest if not revisit else sha1_base32(b'')}"),
-        ("X-Payload-Length", str(len(payload))),
+        ("X-Payload-Length", str(whole)),
         ("Content-Type", "text/html; charset=utf-8"),
         ("Content-Length", str(len(body))),
     ]
@@ -115,10 +124,13 @@ def parse(record: bytes) -> dict:
 
 
 class _Window:
-    """A sliding view of a stream: only what is not yet consumed stays in memory."""
+    """A sliding view of a stream: ``data`` from ``at`` on is not yet consumed."""
 
     def __init__(self, read: Callable[[int], bytes]):
-        self.read, self.data, self.start, self.ended = read, b"", 0, False
+        self.read, self.data, self.at, self.start, self.ended = read, bytearray(), 0, 0, False
+
+    def __len__(self) -> int:
+        return len(self.data) - self.at
 
     def more(self) -> bool:
         got = b"" if self.ended else self.read(_STEP)
@@ -126,64 +138,99 @@ class _Window:
         self.data += got
         return bool(got)
 
+    def find(self, what: bytes, begin: int = 0) -> int:
+        found = self.data.find(what, self.at + begin)
+        return found - self.at if found >= 0 else -1
+
+    def part(self, begin: int, end: int) -> bytes:
+        return bytes(self.data[self.at + begin : self.at + end])
+
     def drop(self, n: int) -> None:
-        self.data, self.start = self.data[n:], self.start + n
+        self.at, self.start = self.at + n, self.start + n
+        if self.at > 4 * _STEP and 2 * self.at > len(self.data):  # seldom, so that dropping takes linear time
+            del self.data[: self.at]
+            self.at = 0
 
 
 def _gzip_member(w: _Window) -> tuple[bytes, int]:
     """The member at the window's start and its compressed length."""
-    z, out, used = zlib.decompressobj(31), [], 0
-    while True:
-        if used == len(w.data) and not w.more():
-            raise Damaged("the member is cut off")
+    z, out, used, limit = zlib.decompressobj(31), bytearray(), 0, -1
+    while not z.eof:
+        piece = z.unconsumed_tail
+        if not piece:
+            if used == len(w) and not w.more():
+                raise Damaged("the member is cut off")
+            piece = w.part(used, used + _PIECE)
+            used += len(piece)
         try:
-            out.append(z.decompress(w.data[used:]))
+            out += z.decompress(piece, _STEP)
         except zlib.error as e:
             raise Damaged(f"gzip: {e}") from None
-        used = len(w.data)
-        if z.eof:
-            return b"".join(out), used - len(z.unused_data)
+        if limit < 0 and (end := out.find(b"\r\n\r\n")) >= 0:
+            limit = end + 8 + _length(bytes(out[:end]))
+        if 0 <= limit < len(out):
+            raise Damaged("content length does not fit")
+    return bytes(out), used - len(z.unused_data)
 
 
-def _plain_record(w: _Window) -> tuple[bytes, int]:
-    while (end := w.data.find(b"\r\n\r\n")) < 0:
-        if len(w.data) > MAX_HEADER or not w.more():
-            raise Damaged("no record header")
-    m = re.search(rb"(?i)\r\ncontent-length:[ \t]*(\d{1,18})[ \t]*\r\n", w.data[: end + 2])
+def _length(head: bytes) -> int:
+    m = re.search(rb"(?i)\r\ncontent-length:[ \t]*(\d{1,18})[ \t]*(?:\r\n|$)", head)
     if not m:
         raise Damaged("no content length")
-    size = end + 4 + int(m[1]) + 4
-    while len(w.data) < size:
+    return int(m[1])
+
+
+def _plain_record(w: _Window, ends: Callable[[int], bool] | None) -> tuple[bytes, int]:
+    line = 0
+    while True:  # a header's lines, up to an empty one
+        while (end := w.find(b"\r\n", line)) < 0:
+            if not w.more():
+                raise Damaged("no record header")
+        if end == line:
+            break
+        text = w.part(line, end)
+        if not re.fullmatch(rb"WARC/\d+\.\d+", text) if line == 0 else b":" not in text:
+            raise Damaged("no version line" if line == 0 else "a header line without a colon")
+        line = end + 2
+    size = line + 2 + _length(w.part(0, line)) + 4
+    if ends is not None and not ends(w.start + size):
+        raise Damaged("content length does not fit")
+    while len(w) < size:
         if not w.more():
             raise Damaged("the record is cut off")
-    return w.data[:size], size
+    return w.part(0, size), size
 
 
-def salvage(read: Callable[[int], bytes]) -> Iterator[dict]:
-    """Records and gaps of an archive, in order; ``read(n)`` gives its next bytes."""
+def salvage(read: Callable[[int], bytes], ends: Callable[[int], bool] | None = None) -> Iterator[dict]:
+    """Records and gaps of an archive, in order; ``read(n)`` gives its next bytes.
+
+    ends: whether a record's closing line breaks stand before that offset;
+    without it a damaged length is noticed only after reading as far as it says.
+    """
     w = _Window(read)
     gap, reason = None, ""
-    while w.data or w.more():
-        while len(w.data) < 10 and w.more():
+    while len(w) or w.more():
+        while len(w) < 10 and w.more():
             pass
-        zipped = w.data[:3] == b"\x1f\x8b\x08"
+        start = w.part(0, 5)
+        zipped = start[:3] == b"\x1f\x8b\x08"
         try:
-            if not zipped and not w.data.startswith(b"WARC/"):
+            if not zipped and start != b"WARC/":
                 raise Damaged("neither a gzip member nor a version line")
-            raw, size = _gzip_member(w) if zipped else _plain_record(w)
+            raw, size = _gzip_member(w) if zipped else _plain_record(w, ends)
             row = parse(raw)
         except Damaged as e:
             if gap is None:
                 gap, reason = w.start, str(e)
             w.drop(1)
             while True:  # on to the next place where a record can start
-                at = min((x for x in (w.data.find(b"\x1f\x8b\x08"), w.data.find(b"WARC/")) if x >= 0), default=-1)
+                at = min((x for x in (w.find(b"\x1f\x8b\x08"), w.find(b"WARC/")) if x >= 0), default=-1)
                 if at >= 0:
                     w.drop(at)
                     break
-                w.drop(max(0, len(w.data) - 4))
+                w.drop(max(0, len(w) - 4))
                 if not w.more():
-                    w.drop(len(w.data))
+                    w.drop(len(w))
                     break
             continue
         if gap is not None:
@@ -218,9 +265,11 @@ def _writer(folder: str, archive_bytes: int):
                 out, part, size, count = None, part + 1, 0, 0
 
         for batch in batches:
-            pages, urls, htmls, refers, revisits = (batch.column(i) for i in range(5))
-            for i in range(batch.num_rows):
-                record = render(pages[i].as_py(), urls[i].as_py(), htmls[i].as_py().encode(), refers[i].as_py(), revisits[i].as_py())
+            htmls = batch.column(2)
+            small = zip(*(batch.column(i).to_pylist() for i in (0, 1, 3, 4, 5, 6)))
+            for i, (page, url, refers, revisit, digest, length) in enumerate(small):
+                known = (base64.b32encode(bytes.fromhex(digest)).decode(), length)
+                record = render(page, url, b"" if revisit else htmls[i].as_py().encode(), refers, revisit, known)
                 z = zlib.compressobj(6, zlib.DEFLATED, 31)
                 member = z.compress(record) + z.flush()
                 if out is None:
@@ -249,11 +298,20 @@ def write_archives(pages: DataFrame, folder: str, min_revisit_bytes: int = 0, ar
     files.create_dir(at, recursive=True)
     html = text_of("html")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
-    rows = rows.withColumns({"__wa_key": F.sha2("html", 256), "__wa_size": F.octet_length("html")})
+    rows = rows.withColumns({"__wa_key": F.sha2("html", 256), "__wa_sha1": F.sha1("html"), "__wa_size": F.octet_length("html").cast("long")})
     id_or_least = F.coalesce("page_id", F.lit(-(1 << 63)))
-    largest = rows.groupBy("__wa_key").agg(F.max(id_or_least).alias("top"), F.count("*").alias("n")).filter("n > 1").select(F.col("__wa_key").alias("k"), "top")
+    largest = rows.groupBy("__wa_key").agg(F.max(id_or_least).alias("top"), F.count("*").alias("n")).filter("n > 1")
+    largest = written(largest.select(F.col("__wa_key").alias("k"), "top", "n"), "warc-copies")
+    many = max(COPIES, -(-(largest.agg(F.sum("n")).first()[0] or 0) // FREQUENT))
+    hot = F.broadcast(largest.filter(F.col("n") >= many).select(F.col("k").alias("__wa_hot"), F.col("top").alias("__wa_top")))  # FREQUENT rows at most
+    rows = rows.join(hot, F.col("__wa_key") == F.col("__wa_hot"), "left")
+    known = F.col("__wa_hot").isNotNull()
+    rows = rows.withColumn("html", F.when(~(known & (F.col("__wa_size") >= min_revisit_bytes) & (id_or_least != F.col("__wa_top"))), F.col("html")))
+    # frequent payloads need no second look: their rows are spread by a key that matches none
+    spread = F.when(known, F.concat_ws("~", F.lit(""), F.xxhash64("page_id", "url").cast("string"))).otherwise(F.col("__wa_key"))
+    both = rows.withColumn("__wa_spread", spread).join(largest.filter(F.col("n") < many).drop("n").hint("shuffle_hash"), F.col("__wa_spread") == F.col("k"), "left")
+    both = both.withColumns({"k": F.coalesce("__wa_hot", "k"), "top": F.coalesce("__wa_top", "top")})
     # where ids repeat, the response is one row: of those with the top id, the first by url
-    both = rows.join(largest.hint("shuffle_hash"), F.col("__wa_key") == F.col("k"), "left")
     top = id_or_least == F.col("top")
     copy = F.col("k").isNotNull() & (F.col("__wa_size") >= min_revisit_bytes)
     ids = rows.groupBy("page_id").count().filter("count > 1").limit(1)
@@ -264,7 +322,7 @@ def write_archives(pages: DataFrame, folder: str, min_revisit_bytes: int = 0, ar
         both = both.withColumn("__wa_rank", F.row_number().over(w))
         revisit = copy & ~(top & (F.col("__wa_rank") == 1))
     refers = F.when(revisit & (F.col("top") != -(1 << 63)), F.col("top"))
-    ready = both.select("page_id", "url", "html", refers.alias("refers_to"), revisit.alias("revisit"))
+    ready = both.select("page_id", "url", F.when(~revisit, F.col("html")).alias("html"), refers.alias("refers_to"), revisit.alias("revisit"), F.col("__wa_sha1").alias("sha1"), F.col("__wa_size").alias("size"))
     return written(ready.mapInArrow(_writer(folder, archive_bytes), "archive string, records long, bytes long"), "warc-manifest")
 
 
@@ -274,8 +332,13 @@ def _reader(folder: str, with_payload: bool):
             for name in batch.column(0).to_pylist():
                 files, at = _filesystem(name) if re.match(r"\w+:/", name) else (_filesystem(folder)[0], name)
                 rows, size = [], 0
-                with files.open_input_stream(at, compression=None) as stream:
-                    for row in salvage(lambda n: stream.read(n)):  # noqa: B023
+                with files.open_input_stream(at, compression=None) as stream, files.open_input_file(at) as whole:
+                    total = whole.size()
+
+                    def ends(offset: int) -> bool:
+                        return offset <= total and whole.read_at(4, offset - 4) == b"\r\n\r\n"  # noqa: B023
+
+                    for row in salvage(lambda n: stream.read(n), ends):  # noqa: B023
                         size += len(row.get("payload") or b"")
                         if not with_payload:
                             row["payload"] = None

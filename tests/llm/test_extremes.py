@@ -253,3 +253,67 @@ def test_toxicity_on_held_out_rows(spark):
     got = [(r.predicted, labels[r.doc_id]) for r in QUERIES["op2_toxicity"](spark, sf).collect() if r.held_out and labels.get(r.doc_id) is not None]
     toxic, clean = [p for p, t in got if t == 1], [p for p, t in got if t == 0]
     assert sum(toxic) / len(toxic) >= 0.7 and sum(clean) / len(clean) <= 0.02
+
+
+# --- 4: WARC
+
+
+def plain_archive(n, size):
+    from rxlink.llm import warc
+
+    rng = random.Random(2)
+    return [warc.render(i, f"http://h/{i}", rng.randbytes(rng.randrange(1, size)), None, False) for i in range(n)]
+
+
+def test_warc_damaged_length_takes_linear_time():
+    import io
+    import re
+    import time
+
+    from rxlink.llm import warc
+
+    records = plain_archive(6000, 8000)
+    whole = b"".join(records)
+
+    def run(data):
+        began = time.perf_counter()
+        ends = lambda n: n <= len(data) and data[n - 4 : n] == b"\r\n\r\n"
+        both = [[r | {"reason": None} for r in warc.salvage(io.BytesIO(data).read, e)] for e in (None, ends)]
+        assert both[0] == both[1]
+        return both[0], time.perf_counter() - began
+
+    clean, usual = run(whole)
+    assert len(clean) == 6000
+    for bad in (3, 2000, 5990):
+        records[bad] = re.sub(rb"Content-Length: (\d+)", rb"Content-Length: 9\1", records[bad]) if bad != 3 else re.sub(rb"Content-Length: \d+", b"Content-Length: 99999999999", records[bad])
+    rows, took = run(b"".join(records))
+    assert [r["page_id"] for r in rows if "gap_start" not in r] == [i for i in range(6000) if i not in (3, 2000, 5990)]
+    assert sum("gap_start" in r for r in rows) == 3
+    assert took < 3 * usual + 1
+
+
+def test_warc_long_headers_and_inflating_members():
+    import io
+    import zlib
+
+    from rxlink.llm import warc
+
+    one = warc.render(1, "http://h/" + "x" * 300_000, b"body", None, False)
+    nested = warc.render(2, "http://h/2", one, None, False)
+    assert [r["page_id"] for r in warc.salvage(io.BytesIO(one + nested).read)] == [1, 2]
+    z = zlib.compressobj(9, zlib.DEFLATED, 31)
+    bomb = z.compress(one + b"\0" * 300_000_000) + z.flush()
+    rows = list(warc.salvage(io.BytesIO(bomb + one).read))
+    assert [r.get("reason") for r in rows] == ["content length does not fit", None]
+
+
+@pytest.mark.parametrize("copies", [3, 10_000])
+def test_warc_frequent_payloads(spark, monkeypatch, copies):
+    from rxlink.llm import warc
+
+    monkeypatch.setattr(warc, "COPIES", copies)
+    rows = [(i, f"u{i}", "same page") for i in range(50)] + [(100 + i, f"v{i}", f"own {i}") for i in range(20)] + [(200, "a", "twice"), (201, "b", "twice"), (300, None, None), (301, "c", "")]
+    got = warc.round_trip(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    last = {(t or ""): i for i, _, t in rows}
+    want = Counter((i, len(t or ""), warc.sha1_base32((t or "").encode()), "response" if last[t or ""] == i else "revisit", None if last[t or ""] == i else last[t or ""]) for i, _, t in rows)
+    assert Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got) == want
