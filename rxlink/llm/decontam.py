@@ -5,10 +5,13 @@ fewer words is one window) and all windows go into one automaton. Each text is
 normalised, scanned once, and every hit is mapped back through the words'
 offsets to the original text.
 
-The automaton is built once a Python worker from the broadcast item texts.
-Their size is checked: items beyond ``MAX_AUTOMATON_CHARS`` go to further
-automata, each with its own scan, whose hits are united by document, so a
-benchmark of any size is matched whole within bounded memory.
+The automaton is built once a Python worker from the broadcast item texts, over
+words, not letters: each word of the items is a symbol of two characters (any
+other word of a text is one that no window holds), so a window of ten words
+takes at most twenty nodes. Its size is checked: items beyond
+``MAX_AUTOMATON_CHARS`` go to further automata, each with its own scan, whose
+hits are united by document, so a benchmark of any size is matched whole within
+bounded memory (a million characters of items take 126 MB in a worker).
 
 Defined results
     null or empty text: no words, no hits. Null item text: no window. Items
@@ -21,8 +24,10 @@ Defined results
 
 from __future__ import annotations
 
+import array
+import hashlib
+import math
 import re
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,7 +37,7 @@ from pyspark.sql import functions as F
 from rxlink.llm.common import ddl, require, text_of
 
 WINDOW = 10
-MAX_AUTOMATON_CHARS = 16_000_000
+MAX_AUTOMATON_CHARS = 2_000_000
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 _HITS = "__bd_words long, __bd_hit long, __bd_items array<string>, __bd_spans array<struct<start:int,end:int>>, __bd_runs array<struct<start:int,end:int>>"
@@ -50,21 +55,44 @@ def windows(words: list[str], size: int = WINDOW) -> list[list[str]]:
     return [words[i : i + size] for i in range(max(1, len(words) - size + 1))]
 
 
-def build_automaton(items: list[tuple[str, str]], size: int = WINDOW):
-    """Automaton over `` w1 w2 .. `` keys; a key's value: its word count and items."""
-    import ahocorasick
+class Codes(dict):
+    """Words to symbols of two characters, the first and the second from sets apart."""
 
-    keys: dict[str, tuple[int, set[str]]] = {}
-    for item, text in items:
-        for w in windows(normal_words(text or ""), size):
-            keys.setdefault(f" {' '.join(w)} ", (len(w), set()))[1].add(item)
-    if not keys:
-        return None
-    machine = ahocorasick.Automaton()
-    for k, v in keys.items():
-        machine.add_word(k, v)
-    machine.make_automaton()
-    return machine
+    FIRST, SECOND, NONE = 0x1000, 0x20000, "\x01\x02"
+
+    def __init__(self, words: list[str]):
+        side = max(1, math.isqrt(len(words)) + 1)
+        super().__init__((w, chr(self.FIRST + i // side) + chr(self.SECOND + i % side)) for i, w in enumerate(words))
+
+    def __missing__(self, word: str) -> str:
+        return self.NONE
+
+    def spell(self, words: list[str]) -> str:
+        return "".join(map(self.__getitem__, words))
+
+
+class Machine:
+    """The automaton over the windows of items, and by window its words and items."""
+
+    def __init__(self, items: list[tuple[str, str]], size: int = WINDOW):
+        import ahocorasick
+
+        texts = [(item, normal_words(text or "")) for item, text in items]
+        self.codes = Codes(sorted({w for _, words in texts for w in words}))
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        self.sizes, self.items = array.array("i"), []
+        for item, words in texts:
+            own = (item,)
+            for w in windows(words, size):
+                at = self.automaton.get(key := self.codes.spell(w), -1)
+                if at < 0:
+                    self.automaton.add_word(key, len(self.items))
+                    self.sizes.append(len(w))
+                    self.items.append(own)
+                elif item not in self.items[at]:
+                    self.items[at] += own
+        if self.items:
+            self.automaton.make_automaton()
 
 
 def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -78,24 +106,14 @@ def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def scan(machine, text: str) -> tuple[int, list[tuple[int, int]], set[str]]:
+def scan(machine: Machine, text: str) -> tuple[int, list[tuple[int, int]], set[str]]:
     """How many words, the hit runs of words, the items."""
     words = normal_words(text)
-    if machine is None or not words:
+    if not machine.items or not words:
         return len(words), [], set()
-    runs: list[tuple[int, int]] = []
-    items: set[str] = set()
-    ends: list[int] = []
-    for end, (n, who) in machine.iter(f" {' '.join(words)} "):
-        if not ends:  # where each word's closing space stands
-            at = 0
-            for w in words:
-                at += len(w) + 1
-                ends.append(at)
-        last = bisect_left(ends, end)
-        items |= who
-        runs.append((last - n + 1, last))
-    return len(words), merged(runs), items
+    found = [(end // 2, at) for end, at in machine.automaton.iter(machine.codes.spell(words))]
+    items = {i for at in {at for _, at in found} for i in machine.items[at]}
+    return len(words), merged([(last - machine.sizes[at] + 1, last) for last, at in found]), items
 
 
 def spans_of(text: str, runs: list[tuple[int, int]]) -> list[dict[str, int]]:
@@ -106,18 +124,17 @@ def spans_of(text: str, runs: list[tuple[int, int]]) -> list[dict[str, int]]:
     return [{"start": where[a][0], "end": where[b][1]} for a, b in runs]
 
 
-_machines: dict[tuple, object] = {}
+_machines: dict[tuple, Machine] = {}
 
 
-def _scanner(shared, part: int, size: int, again: bool):
+def _scanner(shared, digest: str, size: int, again: bool):
     """again: earlier scans' columns stand before the text and are united with."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = (id(shared.value), part, size)
-        if key not in _machines:
+        if (digest, size) not in _machines:
             _machines.clear()
-            _machines[key] = build_automaton(shared.value, size)
-        machine = _machines[key]
+            _machines[digest, size] = Machine(shared.value, size)
+        machine = _machines[digest, size]
         pairs = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
             own = batch.num_columns - 1 - (5 if again else 0)
@@ -161,7 +178,8 @@ def scan_benchmark(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, ma
     kinds = f"{ddl(docs)}, {_HITS}"
     out = docs
     for k, part in enumerate(item_parts(benchmark, max_chars)):
-        out = out.withColumn("__bd_text", text_of("text")).mapInArrow(_scanner(sc.broadcast(part), k, size, k > 0), kinds)
+        digest = hashlib.sha256(repr(part).encode("utf-8", "surrogatepass")).hexdigest()
+        out = out.withColumn("__bd_text", text_of("text")).mapInArrow(_scanner(sc.broadcast(part), digest, size, k > 0), kinds)
     return out.drop("__bd_runs")
 
 
