@@ -6,13 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rxlink.functions import extract as E
+from rxlink.functions import labels as L
 from rxlink.functions import text as T
 from rxlink.operators.records import build_records, dedupe_records
 from rxlink.sources.lookups import Lookups
 
 #: Pixel thresholds of the layout rules.
 LEFT, SHORT_LEFT, GAP, BUCKET, ABOVE, BELOW, LOOK_UP, DURATION_LEFT, SLACK = 650.0, 260.0, 16.0, 8.0, 45.0, 95.0, 35.0, 500.0, 20.0
+#: Headings of a page that are no medicine, and the forms that lines of medicines show.
 BLOCKED = ("CLINIC NAME", "DOCTOR NAME", "PATIENT NAME", "QUALIFICATION", "REGISTRATION", "PRESCRIPTION DATE", "DIAGNOSIS")
+SHOWN_FORMS = ("TAB", "TABLET", "CAP", "CAPSULE", "SYP", "SYRUP", "INJ", "OINT", "CREAM", "GEL", "DROP", "DROPS")
 
 
 def word_lines(words: DataFrame, image: str = "image") -> DataFrame:
@@ -48,8 +51,8 @@ def section_end(lines: DataFrame, image: str = "image") -> DataFrame:
 
 def is_medicine_line(text: Column, left: Column, cy: Column, advice_y: Column) -> Column:
     up = F.upper(text)
-    labelled = up.rlike(r"^\s*(?:NAME|NME|AME|NAE|NAM)\s*[:;.-]")
-    shaped = up.rlike(r"\b(?:TAB|TABLET|CAP|CAPSULE|SYP|SYRUP|INJ|OINT|CREAM|GEL|DROPS?)\b") | up.rlike(r"\b\d+(?:\.\d+)?\s*(?:MG|MCG|G|GM|ML|IU|%)\b") | (left < SHORT_LEFT)
+    labelled = up.rlike(rf"^\s*{L.any_of(*L.MISREAD_NAMES)}\s*[:;.-]")
+    shaped = up.rlike(rf"\b{L.any_of(*SHOWN_FORMS)}\b") | up.rlike(rf"(?i)\b{E.NUMBER}\s*{L.any_of(*(u for u in L.STRENGTHS if not u.startswith('unit')))}\b") | (left < SHORT_LEFT)
     return (text != "") & (cy < advice_y) & (left <= LEFT) & ~up.rlike("|".join(BLOCKED)) & labelled & (F.length(T.strip_label(text, "name")) >= 4) & shaped
 
 

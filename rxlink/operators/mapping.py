@@ -89,20 +89,19 @@ def best_pairs(scored: DataFrame, *problem: str) -> DataFrame:
     return scored.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
 
 
-def greedy(scored: DataFrame, *problem: str, max_rounds: int = 100_000) -> DataFrame:
+def greedy(scored: DataFrame, *problem: str) -> DataFrame:
     """Pairs taken from the best down while both sides are free.
 
     Rounds take all pairs that are the best of their image and of their key at
-    once, which is the same as taking them one after the other; each round is
+    once, which is the same as taking them one after the other. Every round takes
+    a pair of each problem that has any, so the rounds end by themselves; each is
     checkpointed, and the driver sees only whether pairs are left.
     """
     left = best_pairs(scored, *problem).select(*problem, "image_name", "medicine_unique_key", "assignment_score", "final_match_score", "strip_row", "record_row")
     order = [F.desc("assignment_score"), F.desc("final_match_score"), F.asc("strip_row"), F.asc("record_row"), F.asc("image_name"), F.asc("medicine_unique_key")]
     taken: DataFrame | None = None
     left = checkpointed(left)
-    for _ in range(max_rounds):
-        if left.isEmpty():
-            break
+    while not left.isEmpty():
         a, b = Window.partitionBy(*problem, "image_name").orderBy(*order), Window.partitionBy(*problem, "medicine_unique_key").orderBy(*order)
         now = checkpointed(left.withColumn("__a", F.row_number().over(a)).withColumn("__b", F.row_number().over(b)).filter("__a = 1 AND __b = 1").drop("__a", "__b"))
         taken = now if taken is None else taken.unionByName(now)
@@ -118,7 +117,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
         path = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not path and not sc.master.startswith("local"):
+        if not path and not (sc.master == "local" or sc.master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="rxlink-"))
     return df.checkpoint()
@@ -177,6 +176,10 @@ def solve(group: pd.DataFrame) -> pd.DataFrame:
 def optimal(scored: DataFrame, problem: str = "problem") -> DataFrame:
     """The one-to-one pairs with the largest sum of scores, solved for each problem by itself."""
     rows = best_pairs(scored, problem).select(problem, "image_name", "medicine_unique_key", "assignment_score", "strip_row", "record_row")
+    sides = scored.groupBy(problem).agg(F.count_distinct("image_name").alias("a"), F.count_distinct("medicine_unique_key").alias("b"))
+    large = sides.filter(F.col("a") * F.col("b") > MAX_CELLS).select(F.col(problem).cast("string"), "a", "b").first()
+    if large:  # before any task gathers it
+        raise ValueError(f"problem {large[0]} of {large[1]} x {large[2]} is too large to be solved in one task; split it or use greedy()")
     kind = rows.schema[problem].dataType.simpleString()
 
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:

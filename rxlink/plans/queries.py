@@ -17,7 +17,12 @@ from rxlink.functions import text as T
 from rxlink.operators import layout, mapping, merge, records, resolve
 from rxlink.sources.lookups import FORMS, FREQUENCIES, dimension, merge_lookups, override
 
-LK = merge_lookups()
+#: Shorthands of these queries alone, as a dictionary of the user's would bring them.
+SHORTHANDS = (
+    ("mt-lz", "Montelukast + Levocetirizine", "combination", "two names", "low"), ("azth", "Azithromycin", "medicine_name", "one name", "low"),
+    ("cfx", "Cefixime | Cefuroxime", "medicine_name", "two meanings", "high"), ("pnt", "Pantoprazole", "medicine_name", "one name", "medium"), ("rehyd", "Rehydration Salts", "iv_fluid", "no alias", "low"),
+)
+LK = merge_lookups(medicines=SHORTHANDS)
 
 #: A prescription-like line for each line item, the same text in both dialects.
 LINE = (
@@ -27,7 +32,10 @@ LINE = (
 )
 KEYS = "l_orderkey AS doc, l_linenumber AS pos, l_partkey AS part"
 RX = f"(SELECT {KEYS}, {LINE} AS line FROM lineitem JOIN part ON l_partkey = p_partkey)"
-PART_TEXT = "concat(p_name, CASE p_partkey % 6 WHEN 0 THEN ' Mont-L' WHEN 1 THEN ' montelukast levocetirizine tab' WHEN 2 THEN ' azi/ors' WHEN 3 THEN ' Vitamin C 500' WHEN 4 THEN ' (cefi)' ELSE ' panto plus' END)"
+PART_TEXT = "concat(p_name, CASE p_partkey % 6 WHEN 0 THEN ' Mt-Lz' WHEN 1 THEN ' montelukast levocetirizine tab' WHEN 2 THEN ' azth/rehyd' WHEN 3 THEN ' Vitamin C 500' WHEN 4 THEN ' (cfx)' ELSE ' pnt plus' END)"
+
+#: Tables of a few rows by definition.
+SMALL = ("region", "nation")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -44,7 +52,10 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """The table; one that comes in fewer pieces than there are cores is dealt to all of them."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df if name in SMALL or df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def rx_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,13 +86,12 @@ def resolver_normalize(spark, d):
 
 @query(
     "WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS t, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS pos FROM documents), "
-    "s AS (SELECT doc_id, pos, trim(regexp_replace(t, '\\s+', ' ', 'g')) AS line FROM l) "
-    "SELECT doc_id, pos, line FROM s WHERE line <> '' QUALIFY row_number() OVER (PARTITION BY doc_id, lower(line) ORDER BY pos) = 1"
+    "s AS (SELECT doc_id, pos, trim(regexp_replace(t, '\\s+', ' ', 'g')) AS line FROM l), "
+    "f AS (SELECT doc_id, pos, line FROM s WHERE line <> '' QUALIFY row_number() OVER (PARTITION BY doc_id, lower(line) ORDER BY pos) = 1) "
+    "SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS n, line FROM f"
 )
 def line_dedupe_first_seen(spark, d):
-    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("pos", "line")).withColumn("line", T.squeeze("line")).filter("line <> ''")
-    w = Window.partitionBy("doc_id", F.lower("line")).orderBy("pos")
-    return lines.withColumn("n", F.row_number().over(w)).filter("n = 1").select("doc_id", F.col("pos").cast("long").alias("pos"), "line")
+    return table(spark, d, "documents").select("doc_id", F.posexplode(T.distinct_lines("text")).alias("n", "line")).select("doc_id", F.col("n").cast("long").alias("n"), "line")
 
 
 @query("SELECT p_partkey, translate(concat('O', p_name, 'l|I'), 'OoIl|', '00111') AS token FROM part")
@@ -105,9 +115,16 @@ def upload_names(spark, d):
     return table(spark, d, "customer").select("c_custkey", T.upload_name(F.concat("c_name", F.lit("#.PNG")), "c_custkey", "strip").alias("file_name"))
 
 
-@query("SELECT l_orderkey AS doc, l_linenumber AS pos, concat('a', chr(10), 'Tab ', CAST(l_partkey AS VARCHAR)) AS kept FROM lineitem")
+@query(
+    "SELECT l_orderkey AS doc, l_linenumber AS pos, CASE l_partkey % 4 WHEN 0 THEN concat('a', chr(10), 'Tab ', l_partkey) WHEN 1 THEN concat('Cap ', l_partkey, chr(10), 'two') "
+    "WHEN 2 THEN concat('no heading ', l_partkey) ELSE concat('Syrup ', l_partkey, ' advice: kept inside a line') END AS kept FROM lineitem"
+)
 def rx_section_cut(spark, d):
-    text = F.concat(F.lit("Clinic 12\nRx: one\nRx\na\nTab "), F.col("l_partkey").cast("string"), F.lit("\nAdvice: rest\nSignature"))
+    n = F.col("l_partkey").cast("string")
+    kinds = (("Clinic 12\nRx: one\nRx\na\nTab ", "\nAdvice: rest\nSignature"), ("Name\nMedicines:\nCap ", "\ntwo\n  this is sample text"), ("no heading ", "\nDo not use"), ("prescription (rx):  Syrup ", " advice: kept inside a line"))
+    text = F.when(F.lit(False), "")
+    for k, (before, after) in enumerate(kinds):
+        text = text.when(F.col("l_partkey") % 4 == k, F.concat(F.lit(before), n, F.lit(after)))
     return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("pos"), T.prescription_part(text).alias("kept"))
 
 
@@ -439,9 +456,12 @@ def best_pair_topn(spark, d):
     return mapping.best_pairs(rows).drop("final_match_score")
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_name AS image_name, CASE WHEN k IS NULL THEN 0.0::DOUBLE ELSE k END AS final_match_score, CASE WHEN k IS NULL THEN 'unmatched' ELSE 'greedy' END AS assignment_method FROM customer LEFT JOIN (SELECT o_custkey, CAST(max(o_orderkey) AS DOUBLE) AS k FROM orders WHERE o_orderkey % 3 = 0 GROUP BY o_custkey) ON c_custkey = o_custkey")
 def unmatched_antijoin(spark, d):
-    return table(spark, d, "customer").join(table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey", "c_name")
+    strips = table(spark, d, "customer").select("c_custkey", F.col("c_name").alias("image_name"))
+    best = table(spark, d, "orders").filter("o_orderkey % 3 = 0").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_orderkey").cast("double").alias("final_match_score"))
+    matched = strips.join(best, "c_custkey").withColumn("assignment_method", F.lit("greedy"))
+    return mapping.with_unmatched(strips, matched).select("image_name", "final_match_score", "assignment_method")
 
 
 @query("SELECT p_name, count(*) AS n FROM part GROUP BY p_name HAVING count(*) > 1")
