@@ -57,6 +57,8 @@ SLACK = 0.15
 BLOCK = 512
 #: Partners of a hub that one task takes.
 STAR_CHUNK = 4096
+#: Tasks that the rows of one band are dealt to when they learn the band's facts.
+SALTS = 16
 
 _MASK = (1 << 64) - 1
 _ODD = [np.uint64((0x9E3779B97F4A7C15 * (2 * i + 3)) & _MASK | 1) for i in range(64)]
@@ -389,7 +391,7 @@ def block_links(rest: DataFrame, classes: DataFrame, texts: DataFrame, per_cent:
     that have a likely, not yet connected partner there.
     """
     sizes = rest.groupBy("key").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    placed = rest.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    placed = _by_key(rest, sizes).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     # a document of block k takes part in every pair of blocks that holds k
     mates = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("block")).alias("one"), F.greatest(x, F.col("block")).alias("two")))
     placed = placed.join(classes.select("cid", "n", "sketch"), "cid").select("key", "block", "cid", "label", "n", "sketch", F.explode(mates).alias("p"))
@@ -401,6 +403,12 @@ def block_links(rest: DataFrame, classes: DataFrame, texts: DataFrame, per_cent:
     return loads.groupBy(*pair).applyInPandas(_verify_blocks(per_cent), "u long, v long")
 
 
+def _by_key(rows: DataFrame, facts: DataFrame) -> DataFrame:
+    """``rows`` (key, cid) with their band's facts; a band that very many share is dealt to ``SALTS`` tasks."""
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("cid"), F.lit(SALTS)).cast("int"))
+    return salted.join(facts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["key", "salt"]).drop("salt")
+
+
 def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """``rows`` with the ``label`` of their ``cid``: its component, or itself."""
     return rows.join(labels.withColumnRenamed("id", "cid"), "cid", "left").withColumn("label", F.coalesce("component", "cid")).drop("component")
@@ -411,13 +419,13 @@ def class_labels(docs: DataFrame, classes: DataFrame, per_cent: int = PER_CENT)
     texts = docs.select(F.col("doc_id").cast("long").alias("__nd_doc"), F.xxhash64(text_of("text")).alias("__nd_hash"), text_of("text").alias("__nd_whole"))
     keys = classes.select("cid", "sketch").mapInArrow(_band_rows(per_cent), "key long, cid long")
     hubs = keys.groupBy("key").agg(F.min("cid").alias("hub"), F.max("cid").alias("last")).filter("hub < last").drop("last")
-    bands = written(keys.join(hubs, "key").filter("cid > hub"), "near-bands")
+    bands = written(_by_key(keys, hubs).filter("cid > hub"), "near-bands")
     links = written(star_links(bands.select("cid", "hub").distinct(), classes, texts, per_cent), "near-stars")
     labels = components(links, "near-groups")
     # bands whose other members are not all connected yet
     rest = labelled(bands.select("key", "cid"), labels)
     split = rest.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
-    rest = written(rest.join(split, "key").select("key", "cid", "label"), "near-rest")
+    rest = written(_by_key(rest, split).select("key", "cid", "label"), "near-rest")
     if rest.isEmpty():
         return labels
     more = written(block_links(rest, classes, texts, per_cent), "near-links")
