@@ -7,6 +7,9 @@ are dealt by digest, what the cache already has is joined away, the distinct
 misses are encoded, and the new counts are appended to the cache table. The
 documents then join the cache on the digests alone: texts move at most once,
 compressed, and one text repeated in a third of all rows moves once a task.
+Digests that hold more than one in ``SHARE`` of all rows, fewer than ``SHARE``
+therefore, are counted exactly and broadcast; their rows are dealt to ``SALTS``
+keys for that join, to each of which their stored count is copied.
 
 Defined results
     null or empty text: zero bytes and the library's count for the empty
@@ -32,6 +35,8 @@ from rxlink.llm.common import require, scratch_path, text_of
 
 CACHE_SCHEMA = "tokenizer string, content binary, n_tokens long"
 _FLUSH_BYTES = 1_000_000
+#: A digest of more than one in so many rows is dealt to ``SALTS`` keys.
+SHARE, SALTS = 4096, 64
 
 
 def tokenizer_digest(model: str) -> str:
@@ -119,5 +124,14 @@ def count_tokens(docs: DataFrame, model: str, cache: str | None = None) -> DataF
     spark.catalog.refreshByPath(cache)
     counts = spark.read.schema(CACHE_SCHEMA).parquet(cache).filter(F.col("tokenizer") == version)
     counts = counts.groupBy(F.col("content").alias("__tc_content")).agg(F.max("n_tokens").alias("__tc_tokens"))
-    keyed = docs.withColumns({"__tc_bytes": F.octet_length(text_of("text")).cast("long"), "__tc_digest": F.unhex(F.sha2(text_of("text"), 256))})
-    return keyed.join(counts, F.col("__tc_digest") == F.col("__tc_content"), "left").drop("__tc_digest", "__tc_content")
+    digest = F.unhex(F.sha2(text_of("text"), 256))
+    hot = docs.select(digest.alias("__tc_hot")).groupBy("__tc_hot").agg(F.count("*").alias("__tc_rows")).filter(F.col("__tc_rows") * SHARE > docs.count())
+    hot = F.broadcast(hot.select("__tc_hot"))
+    is_hot = F.col("__tc_hot").isNotNull()
+    copies = F.explode(F.sequence(F.lit(0), F.when(is_hot, SALTS - 1).otherwise(0)))
+    counts = counts.join(hot, F.col("__tc_content") == F.col("__tc_hot"), "left").withColumn("__tc_copy", copies).drop("__tc_hot")
+    keyed = docs.withColumns({"__tc_bytes": F.octet_length(text_of("text")).cast("long"), "__tc_digest": digest})
+    keyed = keyed.join(hot, F.col("__tc_digest") == F.col("__tc_hot"), "left")
+    keyed = keyed.withColumn("__tc_salt", F.when(is_hot, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).otherwise(0).cast("int")).drop("__tc_hot")
+    on = (F.col("__tc_digest") == F.col("__tc_content")) & (F.col("__tc_salt") == F.col("__tc_copy"))
+    return keyed.join(counts, on, "left").drop("__tc_digest", "__tc_content", "__tc_salt", "__tc_copy")

@@ -428,6 +428,16 @@ def test_token_counts(spark):
     assert Counter(tuple(r) for r in QUERIES["op9_token_counts"](spark, SF).collect()) == want
 
 
+def test_token_counts_of_frequent_texts(spark):
+    import sentencepiece
+
+    encode = sentencepiece.SentencePieceProcessor(model_file=tokenizer_file(PIECE_MODEL)).encode
+    texts = ["the same words again", None, ""] + [f"text {i}" for i in range(tokens.SHARE)]
+    rows = [(i, texts[0] if i % 3 == 0 else texts[1 + i % (len(texts) - 1)]) for i in range(3 * tokens.SHARE)]
+    out = tokens.count_tokens(spark.createDataFrame(rows, DOCS), tokenizer_file(PIECE_MODEL))
+    assert Counter((r["doc_id"], r["__tc_tokens"]) for r in out.collect()) == Counter((i, len(encode(t or ""))) for i, t in rows)
+
+
 def test_token_cache(spark, tmp_path):
     from rxlink.llm.tokens import CACHE_SCHEMA
 
