@@ -215,18 +215,18 @@ def dosage_form(spark, d):
     return rx_lines(spark, d).select("doc", "pos", "part", raw.alias("raw"), meaning.alias("meaning"))
 
 
-@query()
+@query(f"SELECT doc, pos, part, regexp_extract(line, '^[0-9]+[.] (.* mg) ', 1) AS head, regexp_extract(line, ' mg (.*)$', 1) AS rest FROM {RX}")
 def split_medicine_details(spark, d):
     s = E.split_parts(F.col("line"), LK)
     return rx_lines(spark, d).select("doc", "pos", "part", s.alias("s")).select("doc", "pos", "part", "s.head", "s.rest")
 
 
-@query()
+@query(f"SELECT p_partkey, regexp_extract({PART_TEXT}, '(Mt-Lz|montelukast levocetirizine tab|azth/rehyd|Vitamin C 500|cfx[)]|pnt plus)$', 1) AS trimmed FROM part")
 def trim_to_anchor(spark, d):
     return table(spark, d, "part").select("p_partkey", E.from_medicine_start(F.expr(PART_TEXT), LK).alias("trimmed"))
 
 
-@query()
+@query(f"SELECT doc, pos, part, CASE WHEN regexp_matches(line, 'days|weeks|month') THEN regexp_extract(line, '(days|weeks|month),? (.+)$', 2) ELSE regexp_extract(line, ' (PC)$', 1) END AS tail FROM {RX}")
 def trailing_instruction(spark, d):
     return rx_lines(spark, d).select("doc", "pos", "part", E.trailing_instruction(F.col("line")).alias("tail"))
 
@@ -252,28 +252,46 @@ def record_extraction(spark, d):
     return records.extract_records(rx_texts(spark, d), LK)
 
 
-@query()
+#: Medicine, dose and whole line of the derived lines, numbered in their order.
+_PARTS = "regexp_extract(line, '^[0-9]+[.] (.* mg) ', 1) AS medicine_line, regexp_extract(line, ' mg (.*)$', 1) AS dose_line, '' AS instruction_line, regexp_replace(line, '^[0-9]+[.] ', '') AS raw"
+_POS = "CAST(row_number() OVER (PARTITION BY doc ORDER BY pos, line) AS INT) AS pos"
+
+
+@query(f"SELECT CAST(doc AS VARCHAR) AS source_image, 3 AS parser, {_POS}, {_PARTS} FROM {RX}")
 def numbered_blocks(spark, d):
     return records.numbered_blocks(rx_texts(spark, d), LK)
 
 
-@query()
+@query(f"SELECT CAST(doc AS VARCHAR) AS source_image, 4 AS parser, n AS pos, {_PARTS} FROM (SELECT doc, line, {_POS.replace('AS pos', 'AS n')} FROM {RX}) WHERE regexp_matches(line, '^[0-9]+[.] (Tab|Cap|Syrup) ')")
 def matrix_islands(spark, d):
     return records.table_rows(rx_texts(spark, d), LK)
 
 
-@query()
+@query(
+    f"WITH l AS (SELECT CAST(doc AS VARCHAR) AS source_image, {_POS}, line, regexp_matches(line, '^[0-9]+[.] (Tab|Cap|Syrup) ') AS own FROM {RX}), "
+    "t AS (SELECT source_image, pos - 1 AS pos, own, concat_ws(' ', line, lead(CASE WHEN NOT own THEN line END, 1) OVER w, lead(CASE WHEN NOT own THEN line END, 2) OVER w) AS raw FROM l WINDOW w AS (PARTITION BY source_image ORDER BY pos)) "
+    "SELECT source_image, 5 AS parser, min(pos) AS pos, regexp_extract(raw, '^[0-9]+[.] (.*? mg) ', 1) AS medicine_line, regexp_extract(raw, '^.*? mg (.*)$', 1) AS dose_line, '' AS instruction_line, raw FROM t WHERE own GROUP BY source_image, raw"
+)
 def line_lookahead(spark, d):
     return records.line_rows(rx_texts(spark, d), LK)
 
 
-@query()
+@query(
+    f"WITH l AS (SELECT CAST(doc AS VARCHAR) AS source_image, {_POS}, regexp_replace(line, '^[0-9]+[.] ', '') AS body, "
+    f"lead(regexp_extract(line, '^[0-9]+', 0)) OVER (PARTITION BY doc ORDER BY pos, line) AS next FROM {RX}) "
+    "SELECT source_image, 0 AS parser, pos, concat(body, ' ' || next) AS medicine_line, '' AS dose_line, '' AS instruction_line, concat('Medicine: ', body, ' ' || next || '.') AS raw FROM l "
+    "UNION ALL SELECT source_image, 1, pos, body, '', '', body FROM l"
+)
 def labeled_blocks(spark, d):
     texts = rx_texts(spark, d).withColumn("text", F.regexp_replace("text", r"(^|\n)(\d+\. )", "$1$2Medicine: "))
     return records.anywhere_blocks(texts, LK).unionByName(records.line_start_blocks(texts, LK))
 
 
-@query()
+@query(
+    f"WITH l AS (SELECT CAST(doc AS VARCHAR) AS source_image, {_POS}, regexp_extract(line, '^[0-9]+[.] ([A-Za-z]+) ', 1) AS first, regexp_extract(line, '^[0-9]+[.] [A-Za-z]+ (.*)$', 1) AS body FROM {RX}) "
+    "SELECT source_image, 2 AS parser, pos, concat(CASE WHEN first IN ('Tab', 'Cap', 'Syrup') THEN '' ELSE 'Tab ' END, first, CASE WHEN contains(body, ',') THEN '' ELSE ' ' || body END) AS medicine_line, "
+    "concat('Form: Tab Strength: ', body) AS dose_line, '' AS instruction_line, concat(first, ' Form: Tab Strength: ', body) AS raw FROM l"
+)
 def field_label_blocks(spark, d):
     texts = rx_texts(spark, d).withColumn("text", F.regexp_replace("text", r"(^|\n)(\d+\. )(\w+) ", "$1$2Medicine: $3 Form: Tab Strength: "))
     return records.field_blocks(texts, LK)
@@ -302,10 +320,20 @@ def quantised_dedupe(spark, d):
     return layout.quantised_dedupe(lines).withColumnRenamed("left", "lft")
 
 
-@query()
+_CHAIN = ("l_orderkey AS image", "concat(l_returnflag, repeat('x', CAST(l_partkey % 4 AS INT))) AS text", "CAST(l_suppkey AS DOUBLE) AS cy", "l_quantity AS left")
+
+
+@query(
+    "WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY cy, \"left\", text) AS n FROM "
+    f"(SELECT {', '.join(_CHAIN).replace('AS left', 'AS \"left\"')} FROM lineitem)), "
+    "s AS (SELECT image, n, 1 AS row, cy, \"left\", text FROM o WHERE n = 1 UNION ALL "
+    "SELECT o.image, o.n, CASE WHEN o.cy - s.cy < 16 THEN s.row ELSE s.row + 1 END, CASE WHEN o.cy - s.cy < 16 AND length(o.text) <= length(s.text) THEN s.cy ELSE o.cy END, "
+    "CASE WHEN o.cy - s.cy < 16 AND length(o.text) <= length(s.text) THEN s.\"left\" ELSE o.\"left\" END, CASE WHEN o.cy - s.cy < 16 AND length(o.text) <= length(s.text) THEN s.text ELSE o.text END "
+    "FROM s JOIN o ON o.image = s.image AND o.n = s.n + 1) "
+    "SELECT image, row, cy, \"left\", text FROM s QUALIFY row_number() OVER (PARTITION BY image, row ORDER BY n DESC) = 1"
+)
 def chain_dedupe_gap(spark, d):
-    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("image"), F.col("l_returnflag").alias("text"), F.col("l_suppkey").cast("double").alias("cy"), F.col("l_quantity").cast("double").alias("left"))
-    return layout.chain_dedupe(lines)
+    return layout.chain_dedupe(table(spark, d, "lineitem").selectExpr(*_CHAIN))
 
 
 _EVENTS = "SELECT event_id, user_id, event_type, epoch_us(ts) / 1000000.0 AS y FROM events"
