@@ -550,3 +550,32 @@ def test_pipeline(spark):
         if name == "decontamination":
             items = [(r["item_id"], r["text"]) for r in table("benchmark")]
             assert {d for d, _ in after} == {k[0] for k in hits_by_hand(before, items) if not k[2]}
+
+
+@pytest.mark.parametrize("rows", [odd_documents(), []])
+def test_pipeline_on_odd_rows(spark, rows):
+    import corpus_pipeline
+
+    small = "/root/testdata/sf0.001"
+    kind = f"{DOCS}, n_lines string, score double, kept boolean, cid string, component string, tokens int"
+    docs = kept = spark.createDataFrame([(*r, "n", None, True, None, "c", i) for i, r in enumerate(rows)], kind)
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
+    for name, stage in corpus_pipeline.STAGES:
+        before = [(r.doc_id, r.text) for r in kept.collect()]
+        kept = stage(spark, kept, small)
+        if name == "packing":
+            assert check_packing(before, kept.collect())[0] == 0 if before else kept.count() == 0
+            break
+        assert kept.columns == docs.columns
+        kept = spark.createDataFrame(kept.collect(), kept.schema)
+        after = [(r.doc_id, r.text) for r in kept.collect()]
+        if name == "line_dedup":
+            assert Counter(d for d, _ in after) == Counter(d for d, _ in before)
+            by_hand = {(k[0], k[3]): v for k, v in lines_by_hand(before).items()}
+            assert set(after) == set(by_hand)
+            continue
+        assert not Counter(after) - Counter(before)
+        if name == "near_dedup":
+            assert {d for d, _ in after} == {k[0] for k in near_by_hand(before, corpus_pipeline.NEAR_PER_CENT) if k[3]}
+        if name == "decontamination":
+            assert {d for d, _ in after} == {k[0] for k in hits_by_hand(before, items) if not k[2]}
