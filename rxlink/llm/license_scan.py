@@ -139,7 +139,7 @@ def best_window(text: Column, sets: dict[str, list[str]], dice: float) -> Column
         fits = let(known, lambda k: F.filter(F.array(*rows), lambda t: F.size(F.array_intersect(k, t["own"])) >= t["low"]))
         return F.array_min(F.transform(fits, lambda t: best(g, t)))
 
-    return let(running_bigrams(F.regexp_extract_all(text, F.lit(WORDS), F.lit(0))), over)
+    return let(F.regexp_extract_all(text, F.lit(WORDS), F.lit(0)), lambda words: let(running_bigrams(words), over))
 
 
 def line_of(text: Column, at: Column) -> Column:

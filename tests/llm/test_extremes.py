@@ -317,3 +317,12 @@ def test_warc_frequent_payloads(spark, monkeypatch, copies):
     last = {(t or ""): i for i, _, t in rows}
     want = Counter((i, len(t or ""), warc.sha1_base32((t or "").encode()), "response" if last[t or ""] == i else "revisit", None if last[t or ""] == i else last[t or ""]) for i, _, t in rows)
     assert Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got) == want
+
+
+def test_licenses_in_a_long_text_take_linear_time(spark):
+    from rxlink.llm import license_scan
+
+    words = " ".join(f"w{i % 997}" for i in range(50_000))
+    rows = [(1, f"{words}\nReleased now under\nan MIT License, and all that follows"), (2, f"{words}\nthis project is licensed under\nthe MIT License. {words}")]
+    found = {r.doc_id: r["__ls_best"] for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[1] is None and (found[2].license, found[2].unit) == ("MIT-licensed", 2)
