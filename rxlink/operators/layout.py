@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rxlink.functions import extract as E
 from rxlink.functions import labels as L
 from rxlink.functions import text as T
-from rxlink.operators.records import build_records, dedupe_records
+from rxlink.operators.records import settled, surviving_records
 from rxlink.sources.lookups import Lookups
 
 #: Pixel thresholds of the layout rules.
@@ -18,6 +18,9 @@ BLOCKED = ("CLINIC NAME", "DOCTOR NAME", "PATIENT NAME", "QUALIFICATION", "REGIS
 SHOWN_FORMS = ("TAB", "TABLET", "CAP", "CAPSULE", "SYP", "SYRUP", "INJ", "OINT", "CREAM", "GEL", "DROP", "DROPS")
 
 
+_ADVICE = r"(?i)^\s*ADVICE\b"
+
+
 def word_lines(words: DataFrame, image: str = "image") -> DataFrame:
     """Words of one block, paragraph and line joined from left to right."""
     df = words.withColumn("word", T.cell("text")).filter("word <> ''")
@@ -45,23 +48,26 @@ def quantised_dedupe(lines: DataFrame, image: str = "image") -> DataFrame:
 def section_end(lines: DataFrame, image: str = "image") -> DataFrame:
     """``advice_y``: the first advice line, or below everything."""
     w = Window.partitionBy(image)
-    found = F.min(F.when(F.col("text").rlike(r"(?i)^\s*ADVICE\b"), F.col("cy"))).over(w)
+    found = F.min(F.when(F.col("text").rlike(_ADVICE), F.col("cy"))).over(w)
     return lines.withColumn("advice_y", F.coalesce(found, F.max("cy").over(w) + 100.0))
 
 
 def is_medicine_line(text: Column, left: Column, cy: Column, advice_y: Column) -> Column:
+    return (cy < advice_y) & _names_medicine(text, left)
+
+
+def _names_medicine(text: Column, left: Column) -> Column:
     up = F.upper(text)
     labelled = up.rlike(rf"^\s*{L.any_of(*L.MISREAD_NAMES)}\s*[:;.-]")
-    shaped = up.rlike(rf"\b{L.any_of(*SHOWN_FORMS)}\b") | up.rlike(rf"(?i)\b{E.NUMBER}\s*{L.any_of(*(u for u in L.STRENGTHS if not u.startswith('unit')))}\b") | (left < SHORT_LEFT)
-    return (text != "") & (cy < advice_y) & (left <= LEFT) & ~up.rlike("|".join(BLOCKED)) & labelled & (F.length(T.strip_label(text, "name")) >= 4) & shaped
+    shaped = (left < SHORT_LEFT) | up.rlike(rf"\b{L.any_of(*SHOWN_FORMS)}\b") | up.rlike(rf"(?i)\b{E.NUMBER}\s*{L.any_of(*(u for u in L.STRENGTHS if not u.startswith('unit')))}\b")
+    return (text != "") & (left <= LEFT) & labelled & ~up.rlike("|".join(BLOCKED)) & (F.length(T.strip_label(text, "name")) >= 4) & shaped
 
 
-def chain_dedupe(lines: DataFrame, image: str = "image", gap: float = GAP) -> DataFrame:
-    """Down the page, a line within the gap of the last kept one goes, or takes its
-    place if its text is longer. A fold over an image's lines (a page's worth)."""
-    row = F.struct("cy", "left", "text")
-    lists = lines.groupBy(image).agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    kind = "array<struct<cy:double,left:double,text:string>>"
+_ROW = "array<struct<cy:double,left:double,text:string>>"
+
+
+def _chained(rows: Column, gap: float = GAP) -> Column:
+    """Of sorted rows those that ``chain_dedupe`` keeps."""
 
     def step(kept: Column, r: Column) -> Column:
         last = F.try_element_at(kept, F.lit(-1))
@@ -70,8 +76,14 @@ def chain_dedupe(lines: DataFrame, image: str = "image", gap: float = GAP) -> Da
         swapped = F.concat(F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0))), F.array(r))
         return F.when(~near, F.concat(kept, F.array(r))).when(longer, swapped).otherwise(kept)
 
-    rows = F.col("rows").cast(kind)
-    return lists.select(image, F.posexplode(F.aggregate(rows, F.array().cast(kind), step)).alias("pos", "r")).select(image, (F.col("pos") + 1).alias("row"), "r.cy", "r.left", "r.text")
+    return F.aggregate(rows.cast(_ROW), F.array().cast(_ROW), step)
+
+
+def chain_dedupe(lines: DataFrame, image: str = "image", gap: float = GAP) -> DataFrame:
+    """Down the page, a line within the gap of the last kept one goes, or takes its
+    place if its text is longer. A fold over an image's lines (a page's worth)."""
+    lists = lines.groupBy(image).agg(F.array_sort(F.collect_list(F.struct("cy", "left", "text"))).alias("rows"))
+    return lists.select(image, F.posexplode(_chained(F.col("rows"), gap)).alias("pos", "r")).select(image, (F.col("pos") + 1).alias("row"), "r.cy", "r.left", "r.text")
 
 
 def midpoint_bands(anchors: DataFrame, image: str = "image", limit: Column | None = None) -> DataFrame:
@@ -132,40 +144,76 @@ def _medicine_rows(lines: DataFrame) -> DataFrame:
     return midpoint_bands(rows, limit=F.col("advice_y"))
 
 
-def layout_records(words: DataFrame, lk: Lookups) -> DataFrame:
-    """Records of pages whose fields stand in columns; pages of one row give none."""
-    lines = quantised_dedupe(word_lines(words))
-    rows = _medicine_rows(lines).withColumn("__rows", F.count("*").over(Window.partitionBy("image"))).filter("__rows >= 2").withColumnRenamed("text", "name_text")
-    points = lines.select("image", F.col("cy").alias("y"), F.col("left").alias("x"), "text")
-    b, p = rows.select("image", "row", "cy", "upper", "lower", "advice_y", "name_text").alias("b"), points.alias("p")
-    inside = F.col("p.y").between(F.col("b.upper"), F.col("b.lower")) | ((F.col("p.y") >= F.col("b.cy") - LOOK_UP) & (F.col("p.y") < F.col("b.upper")) & (F.col("p.x") >= LEFT))
-    near = b.join(p, (F.col("b.image") == F.col("p.image")) & inside & (F.col("p.y") < F.col("b.advice_y")))
-    near = near.select("b.*", "p.y", "p.x", F.col("p.text").alias("text"))
-    one = Window.partitionBy("image", "row", T.dedupe_key("text"), bucket(F.col("y"))).orderBy("y", "x")
-    near = near.withColumn("__n", F.row_number().over(one)).filter("__n = 1")
-    t = F.col("text")
-    dose, span, said = (T.value_after(t, p) for p in (r"\bDOSE\b", r"\bDURATION\b", r"\bINSTRUCTIONS?\b"))
-    near = near.withColumns({
-        "__dose": F.when((dose != "") | t.rlike(E.PATTERN), F.concat(F.lit("DOSE: "), F.coalesce(F.nullif(dose, F.lit("")), t))),
-        "__span": F.when((span != "") | F.contains(F.upper(t), F.lit("DURATION")), F.concat(F.lit("DURATION: "), F.coalesce(F.nullif(span, F.lit("")), t))),
-        "__said": F.when((said != "") | F.contains(F.upper(t), F.lit("INSTRUCTION")), T.instruction_text(F.coalesce(F.nullif(said, F.lit("")), t))),
-    })
-
-    def bits(c: str) -> Column:
-        rows = F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("y", "x", F.col(c).alias("v")))))
-        return F.transform(rows, lambda r: r["v"])
-
-    got = near.groupBy("image", "row", "name_text").agg(bits("__dose").alias("d"), bits("__span").alias("s"), bits("__said").alias("i"))
-    name, out = T.medicine_label_text("name_text"), got
-    for column, label, prefix in (("d", r"\bDOSE\b", "DOSE: "), ("s", r"\bDURATION\b", "DURATION: "), ("i", r"\bINSTRUCTIONS?\b", "")):
-        value = T.value_after(name, label)
-        shown = T.instruction_text(value) if column == "i" else F.concat(F.lit(prefix), value)
-        out = out.withColumn(column, F.when(value != "", F.concat(column, F.array(shown))).otherwise(F.col(column)))
-        name = F.when(name.rlike("(?i)" + label), T.strip(F.split(name, "(?i)" + label, 2)[0])).otherwise(name)
+def _page_bands(lines: DataFrame) -> DataFrame:
+    """Pages of at least two medicine rows: image, row, name_text, and the lines of the
+    row's band from top to bottom as ``at`` (equal for lines at one place) and ``text``."""
+    page = lines.groupBy("image").agg(
+        F.min(F.when(F.col("text").rlike(_ADVICE), F.col("cy"))).alias("advice"), F.max("cy").alias("bottom"),
+        F.array_sort(F.collect_list(F.when(_names_medicine(F.col("text"), F.col("left")), F.struct("cy", "left", "text")))).alias("names"),
+        F.collect_list(F.struct(F.col("cy").alias("y"), F.col("left").alias("x"), "text")).alias("points"),
+    )
+    page = settled(page, "image", "names", "points", F.coalesce("advice", F.col("bottom") + 100.0).alias("advice_y"))
+    end = F.col("advice_y")
+    rows = settled(page, "image", "points", "advice_y", _chained(F.filter("names", lambda r: r["cy"] < end)).alias("rows")).filter(F.size("rows") >= 2)
+
+    def band(r: Column, i: Column) -> Column:
+        cy, before, after = r["cy"], F.get("rows", i - 1)["cy"], F.get("rows", i + 1)["cy"]
+        upper = F.greatest(F.lit(0.0), F.coalesce((before + cy) / 2, cy - ABOVE))
+        lower = F.coalesce((cy + after) / 2, F.least(end, cy + BELOW))
+
+        def inside(b: Column) -> Column:
+            return F.filter("points", lambda p: (p["y"] < end) & (p["y"].between(b["upper"], b["lower"]) | ((p["y"] >= cy - LOOK_UP) & (p["y"] < b["upper"]) & (p["x"] >= LEFT))))
+
+        def placed(found: Column) -> Column:
+            place = lambda p: F.struct(p["y"], p["x"])
+            return T.let(F.transform(found, place), lambda places: F.transform(found, lambda p: F.struct(F.array_position(places, place(p)).alias("at"), p["text"].alias("text"))))
+
+        return F.struct(r["text"].alias("name_text"), T.let(F.array_sort(T.let(F.struct(upper.alias("upper"), lower.alias("lower")), inside)), placed).alias("lines"))
+
+    return rows.select("image", F.posexplode(F.transform("rows", band)).alias("pos", "b")).select("image", (F.col("pos") + 1).alias("row"), "b.name_text", "b.lines").filter(F.size("lines") > 0)
+
+
+def _band_parts(bands: DataFrame) -> DataFrame:
+    """The four texts of a record, from the row's name and the lines of its band."""
+
+    def bits(value) -> Column:
+        rows = F.transform("lines", lambda r: F.struct(r["at"], value(r["text"]).alias("v")))
+        return F.transform(F.array_sort(F.filter(rows, lambda r: r["v"].isNotNull())), lambda r: r["v"])
+
+    def labelled(label: str, shown, also):
+        """What follows the label, else the whole line if it looks like such a value."""
+        return lambda t: T.let(T.value_after(t, label), lambda v: F.when((v != "") | also(t), shown(F.coalesce(F.nullif(v, F.lit("")), t))))
+
+    has = lambda w: lambda t: F.contains(F.upper(t), F.lit(w))
+    after = lambda prefix: lambda v: F.concat(F.lit(prefix), v)
+    fields = (
+        ("d", r"\bDOSE\b", after("DOSE: "), lambda t: t.rlike(E.PATTERN)), ("s", r"\bDURATION\b", after("DURATION: "), has("DURATION")), ("i", r"\bINSTRUCTIONS?\b", T.instruction_text, has("INSTRUCTION")),
+    )
+    kept = [c for c in bands.columns if c not in ("name_text", "lines")]
+    out = settled(bands, *kept, T.medicine_label_text("name_text").alias("name"), *[bits(labelled(label, shown, also)).alias(c) for c, label, shown, also in fields])
+    for column, label, shown, _ in fields:
+        name, value = F.col("name"), F.col("value")
+        rest = [c for c in out.columns if c not in ("name", column)]
+        cut = F.when(name.rlike("(?i)" + label), T.strip(F.split(name, "(?i)" + label, 2)[0])).otherwise(name)
+        out = settled(out, *out.columns, T.value_after(name, label).alias("value"))
+        out = settled(out, *rest, cut.alias("name"), F.when(value != "", F.concat(column, F.array(shown(value)))).otherwise(F.col(column)).alias(column))
     line = lambda c, sep: F.array_join(F.filter(F.array_distinct(c), lambda b: b != ""), sep)
-    parts = out.select(F.col("image").alias("source_image"), F.lit(0).alias("parser"), F.col("row").alias("pos"), name.alias("medicine_line"), F.concat_ws(" ", F.nullif(line("d", " "), F.lit("")), F.nullif(line("s", " "), F.lit(""))).alias("dose_line"), line("i", "; ").alias("instruction_line"))
-    parts = parts.filter("medicine_line <> ''").withColumn("raw", F.concat_ws(" ", *[F.nullif(F.col(c), F.lit("")) for c in ("medicine_line", "dose_line", "instruction_line")]))
-    return dedupe_records(build_records(parts, lk))
+    out = settled(out, *kept, "name", line("d", " ").alias("d"), line("s", " ").alias("s"), line("i", "; ").alias("i"))
+    said = lambda *cs: F.concat_ws(" ", *[F.nullif(F.col(c), F.lit("")) for c in cs])
+    parts = settled(out, *kept, F.col("name").alias("medicine_line"), said("d", "s").alias("dose_line"), F.col("i").alias("instruction_line"))
+    parts = parts.filter("medicine_line <> ''")
+    return parts.withColumn("raw", said("medicine_line", "dose_line", "instruction_line"))
+
+
+def layout_records(words: DataFrame, lk: Lookups) -> DataFrame:
+    """Records of pages whose fields stand in columns; pages of one row give none.
+
+    The words are shuffled once, by their image; no two lines of a band are alike,
+    as ``quantised_dedupe`` leaves none on a page.
+    """
+    bands = _page_bands(quantised_dedupe(word_lines(words.filter("image IS NOT NULL").repartition("image"))))
+    rows = bands.select(F.col("image").alias("source_image"), F.lit(0).alias("parser"), F.col("row").alias("pos"), "name_text", "lines")
+    return surviving_records(rows, ["name_text", "lines"], _band_parts, lk)
 
 
 def visual_durations(words: DataFrame) -> DataFrame:

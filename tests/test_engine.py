@@ -193,6 +193,14 @@ def test_layout_records(spark):
     assert [r.duration for r in layout.fill_durations(bare, layout.visual_durations(df)).orderBy("record_number_in_image").collect()] == ["5 days", "9 days"]
 
 
+def test_repeated_bands_are_built_once(spark, built):
+    lines = [(f"p{n}", k, 50, 100 * k + n, f"NAME: TAB {name} 500 mg DOSE: 1-0-1 DURATION: 5 DAYS") for n in range(30) for k, name in ((1, "Paracetamol"), (2, "Zinc"))]
+    df = spark.createDataFrame(words(lines), "image string, line_num int, left double, top double, width double, height double, text string")
+    rows = layout.layout_records(df, LK).collect()
+    assert {(r.record_number_in_image, r.medicine_name, r.duration) for r in rows} == {(1, "Paracetamol", "5 days"), (2, "Zinc", "5 days")} and len(rows) == 60
+    assert built[0].count() == 2
+
+
 def test_chain_dedupe(spark):
     rng = random.Random(2)
     rows = [(f"i{i}", float(rng.randrange(200)), float(k), "x" * rng.randrange(1, 6)) for i in range(20) for k in range(12)]
